@@ -1,0 +1,4 @@
+"""Queries over the test tables, one or more for each operator."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
