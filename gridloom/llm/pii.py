@@ -28,7 +28,7 @@ PATTERNS = {
     "us": r"(?<![A-Za-z0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![A-Za-z0-9/])",
     "eu": r"(?<![A-Za-z0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![A-Za-z0-9]|\.[0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
-    "phone": r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![A-Za-z0-9])",
 }
 
@@ -108,7 +108,7 @@ def pseudonym(m: str, key: str) -> str:
     digits = lambda: f"regexp_replace({m}, '[^0-9]', '')"
     payload = _let("p", f"concat(substring(x, 1, 1), {string_feistel('substring(x, 2, length(x) - 2)', key, 'card')})", f"concat(p, {_check_digit('p')})")
     card = _let("x", digits(), f"CASE WHEN cast(substring(x, -1) as int) = {_check_digit('substring(x, 1, length(x) - 1)')} THEN {_let('q', payload, _refill(m, 'q'))} END")
-    # Area and exchange keep their first digit, so that both stay valid; a country code stays.
+    # Area and exchange keep their first digit, so that what is valid stays valid; a country code stays.
     moved = "concat(substring(x, 1, length(x) - 10), substring(x, -10, 1), substring(y, 1, 2), substring(x, -7, 1), substring(y, 3))"
     phone = _let("x", digits(), _let("y", string_feistel("concat(substring(x, -9, 2), substring(x, -6))", key, "phone"), _let("q", moved, _refill(m, "q"))))
     ssn_ok = f"substring({m}, 1, 3) NOT IN ('000', '666') AND substring({m}, 1, 1) <> '9' AND substring({m}, 5, 2) <> '00' AND substring({m}, 8) <> '0000'"
