@@ -1,0 +1 @@
+"""Spatial disaggregation and areal interpolation as Spark plans."""
