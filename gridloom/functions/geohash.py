@@ -17,15 +17,22 @@ def _steps(value: Column, low: float, span: float, bits: int) -> Column:
 def geohash(lon: Column, lat: Column, size: int = SIZE) -> Column:
     """Geohash of a place with `size` characters: bits of longitude and latitude take turns."""
     bits = (5 * size + 1) // 2
-    axes = [_steps(lon, -180.0, 360.0, bits), _steps(lat, -90.0, 180.0, bits)]
+    axes = F.struct(_steps(lon, -180.0, 360.0, bits).alias("x"), _steps(lat, -90.0, 180.0, bits).alias("y"))
 
-    def digit(k: int) -> Column:
-        value = F.lit(0).cast("long")
-        for i in range(5 * k, 5 * k + 5):
-            value = value * 2 + F.shiftright(axes[i % 2], bits - 1 - i // 2).bitwiseAND(F.lit(1).cast("long"))
-        return F.substring(F.lit(DIGITS), value.cast("int") + 1, F.lit(1))
+    def digits(a: Column) -> Column:
+        def bit(i: Column) -> Column:
+            at = F.floor(i / 2).cast("int")
+            value = F.when(i % 2 == 0, a["x"]).otherwise(a["y"])
+            return F.call_function("shiftright", value, F.lit(bits - 1) - at).bitwiseAND(F.lit(1).cast("long"))
 
-    return F.concat(*[digit(k) for k in range(size)])
+        def digit(k: Column) -> Column:
+            value = F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.lit(0).cast("long"), lambda v, i: v * 2 + bit(k * 5 + i))
+            return F.substring(F.lit(DIGITS), value.cast("int") + 1, F.lit(1))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), digit), "")
+
+    # One expression of a fixed size, whatever the number of digits: long chains take the compiler longer than the rows.
+    return F.transform(F.array(axes), digits)[0]
 
 
 def cell_key(lon: Column, lat: Column) -> Column:

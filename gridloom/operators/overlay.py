@@ -34,10 +34,6 @@ def grid_shape(grid: DataFrame) -> tuple[float, float, float]:
     return (size, row["x"]["x0"] - row["x"]["ix"] * size, row["y"]["y0"] - row["y"]["iy"] * size) if row["x"] else (size, 0.0, 0.0)
 
 
-def cell_of(prefix: str = "_cell") -> Column:
-    return F.col(prefix)
-
-
 def overlay(grid: DataFrame, layer: DataFrame, how: str = "left", shape: tuple[float, float, float] | None = None) -> DataFrame:
     """Cells with the features that meet or touch them.
 
@@ -69,12 +65,18 @@ def polygon_overlay(left: DataFrame, right: DataFrame, how: str = "inner") -> Da
     b = F.col("geometry")["box"]
     side = lambda d: d.agg(F.avg(F.greatest(b["x1"] - b["x0"], b["y1"] - b["y0"])).alias("s")).first()["s"] or 0.0
     size = max(side(left), side(right), 1e-9)
-    dealt = [deal(d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias(n), "geometry"), size) for d, n in ((left, "l"), (right, "r"))]
-    both = dealt[0].drop("geometry").join(dealt[1].drop("geometry"), ["ix", "iy"])
+
+    def dealt(d: DataFrame, n: str) -> DataFrame:
+        """The box as plain columns: conditions of the join then touch no nested fields."""
+        rows = deal(d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias(n), "geometry"), size)
+        return rows.select("ix", "iy", n, *[b[c].alias(f"_{n}{c}") for c in ("x0", "y0", "x1", "y1")])
+
+    both = dealt(left, "l").join(dealt(right, "r"), ["ix", "iy"])
     a, c = F.col("l")["geometry"], F.col("r")["geometry"]
     index = lambda low: (F.ceil(low / size) - 1).cast("int")
-    first = (F.col("ix") == F.greatest(index(a["box"]["x0"]), index(c["box"]["x0"]))) & (F.col("iy") == F.greatest(index(a["box"]["y0"]), index(c["box"]["y0"])))
-    both = both.where(first & geo.boxes_touch(a["box"], c["box"])).drop("ix", "iy")
+    first = (F.col("ix") == F.greatest(index(F.col("_lx0")), index(F.col("_rx0")))) & (F.col("iy") == F.greatest(index(F.col("_ly0")), index(F.col("_ry0"))))
+    touch = (F.col("_lx0") <= F.col("_rx1")) & (F.col("_rx0") <= F.col("_lx1")) & (F.col("_ly0") <= F.col("_ry1")) & (F.col("_ry0") <= F.col("_ly1"))
+    both = both.where(first & touch).select("l", "r")
     plain = (a["type"] == "Box") | (c["type"] == "Box")
     kinds = {r["k"] for d in (left, right) for r in d.select((F.col("geometry")["type"] == "Box").alias("k")).distinct().collect()}
     if False in kinds:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import kernels
 from ..functions.translate import Translation
+from ..runtime import durable
 
 
 def recategorise(layer: DataFrame, source: str, target: str, translation: Translation) -> DataFrame:
@@ -57,17 +58,15 @@ def touching(layer: DataFrame, key: str) -> DataFrame:
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable. Labels spread along edges and jump to their label's label."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = nodes.select(F.col("id"), F.col("id").alias("component"))
+    both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = durable(nodes.select(F.col("id"), F.col("id").alias("component")))
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", "m").alias("component"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = step.join(jump, "component", "left").select("id", F.least("component", "up").alias("component"), F.col("component").alias("_was"))
-        new = new.join(labels.withColumnRenamed("component", "_old"), "id").select("id", "component", "_old").persist()
-        changed = new.where("component <> _old").limit(1).count()
+        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", "m").alias("component"), F.col("component").alias("_old"))
+        up = step.select(F.col("id").alias("component"), F.col("component").alias("_up"))
+        new = durable(step.join(up, "component").select("id", F.least("component", "_up").alias("component"), "_old"))
         labels = new.select("id", "component")
-        if not changed:
+        if new.where("component <> _old").isEmpty():
             return labels
 
 

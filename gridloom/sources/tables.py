@@ -59,7 +59,7 @@ def declared(line: str) -> list[str]:
     return out
 
 
-def read_table(spark: SparkSession, path: str, encoding: str = "utf8", types: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, encoding: str = "utf-8", types: str | None = None) -> DataFrame:
     """A table with the types of its columns, guessed from its first megabyte or declared in the file `types`.
 
     A whole number with a decimal point counts as whole; empty texts are null. The guess sets types for all rows; values
@@ -85,6 +85,7 @@ def read_table(spark: SparkSession, path: str, encoding: str = "utf8", types: st
         rows = [r for r in csv.reader(io.StringIO("\n".join(sample[1:])), delimiter=sep) if len(r) == len(names)]
         kinds = [guess([r[i] for r in rows]) for i in range(len(names))]
     text = spark.read.csv(path, sep=sep, header=True, encoding=encoding, nullValue="", schema=", ".join(f"`{n}` string" for n in names))
+
     def typed(n: str, k: str):
         c = F.col(f"`{n}`")
         if k == "bigint":
