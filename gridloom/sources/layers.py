@@ -46,6 +46,27 @@ def read_geojson(spark: SparkSession, path: str, srid: int = 4326) -> DataFrame:
     return geojson_text(spark.read.text(path, wholetext=whole), srid)
 
 
+def property_columns(layer: DataFrame) -> DataFrame:
+    """The map `properties` as columns: whole numbers, other numbers, or text where any value is not a number.
+
+    Names are collected, so they must be as few as a table's columns. One that is taken, in either case, gets a number.
+    """
+    value = F.col("value")
+    whole, number = (F.min(F.coalesce(c, F.lit(True))) for c in (value.rlike(r"^-?(0|[1-9]\d{0,17})$"), value.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?$")))
+    names = layer.select(F.explode("properties")).groupBy("key").agg(whole.alias("whole"), number.alias("number")).orderBy("key").collect()
+    rest = [c for c in layer.columns if c != "properties"]
+    taken, made = {c.lower() for c in rest}, []
+    for row in names:
+        name, n = row["key"], 0
+        while name.lower() in taken:
+            n += 1
+            name = f"{row['key']}_{n}"
+        taken.add(name.lower())
+        kind = "bigint" if row["whole"] else "double" if row["number"] else "string"
+        made.append(F.try_element_at("properties", F.lit(row["key"])).cast(kind).alias(name))
+    return layer.select(*rest, *made)
+
+
 def import_layer(layer: DataFrame, source_srid: int, target_srid: int, area: tuple[float, float, float, float] | None = None, kind: str | None = None) -> DataFrame:
     """A layer in the study's reference system, cut to rows whose box meets the area.
 
