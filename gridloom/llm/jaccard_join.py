@@ -28,8 +28,6 @@ from ._words import WIDTH, mix, shingle_sets, slices
 
 #: Min-hashes of a set; the first KEYS of them look for a leader.
 HASHES, KEYS, ALIKE = 16, 6, 9
-#: Shingles whose top QUARTER bits are zero are counted over all documents.
-QUARTER = 2
 #: Sizes of what is sent to all executors: a bit for every 2**(32-SEEN_BITS) short hashes, and the frequent shingles.
 SEEN_BITS, FREQUENT, FREQUENT_LEAST = 26, 1 << 19, 64
 #: Ids up to this number are sent to the executors to choose texts by, beyond it the texts are joined.
@@ -51,10 +49,6 @@ def _short(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _low(tokens: np.ndarray) -> np.ndarray:
-    return tokens >> np.uint64(64 - QUARTER) == 0
-
-
 def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -91,20 +85,23 @@ def describe_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts over all documents of the shingles in the low part of the hash range.
+    """Counts of all shingles over all documents.
+
+    Every shingle is counted: where an edited copy's own shingles all come first, its prefix holds so few of those that
+    its group shares that most pairs of the group are never formed.
 
     Returns the sorted short hashes of the frequent ones (FREQUENT at most: the limit is raised until they fit) and a
     bit map of those in two sets or more.
     """
     spark = docs.sparkSession
-    pieces = min(1 << 12, 1 << int(np.ceil(np.log2(4 * parts(spark, total >> QUARTER, 1 << 21)))))
+    pieces = min(1 << 15, 1 << int(np.ceil(np.log2(4 * parts(spark, total, 1 << 21)))))
     shift = 32 - int(np.log2(pieces))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=16 << 20):
                 sets = shingle_sets(part.column("text"), width)
-                flat = np.concatenate([*[s[: np.searchsorted(s, np.uint64(1 << (64 - QUARTER)))] for s in sets], np.zeros(0, np.uint64)])
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 short, counts = np.unique(_short(flat), return_counts=True)
                 cuts = np.searchsorted(short >> np.uint32(shift), np.arange(pieces + 1))
                 full = np.flatnonzero(np.diff(cuts))
@@ -253,7 +250,8 @@ def _list_pairs(run: np.ndarray, percent: int, found: list[np.ndarray]) -> None:
         x, y = x[use], y[use]
         if len(x):
             a, b = run["id"][x], run["id"][y]
-            found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+            x, y = np.where(a < b, x, y), np.where(a < b, y, x)
+            found.append(np.stack((run["id"][x], run["id"][y], n[x], n[y]), axis=1))
         begin = end
 
 
@@ -273,11 +271,11 @@ def candidates(docs: DataFrame, reps: DataFrame, width: int, percent: int, total
             for part in slices(batch):
                 ids, rows = part.column("id").to_pylist(), []
                 for s in shingle_sets(part.column("text"), width):
-                    late = _in(_short(s), frequent) & _low(s)
+                    late = _in(_short(s), frequent)
                     s = np.concatenate((s[~late], s[late])) if late.any() else s
                     s = s[: prefix_size(len(s), percent)] if len(s) else s
                     short = _short(s) >> np.uint32(32 - SEEN_BITS)
-                    alone = _low(s) & (twice[short >> 3] >> (np.uint8(7) - (short & np.uint32(7)).astype(np.uint8)) & np.uint8(1) == 0)
+                    alone = twice[short >> 3] >> (np.uint8(7) - (short & np.uint32(7)).astype(np.uint8)) & np.uint8(1) == 0
                     at = np.flatnonzero(~alone)
                     rows.append(s[at].astype("<u8").tobytes() + at.astype("<i4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["id", "prefix"])
@@ -324,15 +322,13 @@ def candidates(docs: DataFrame, reps: DataFrame, width: int, percent: int, total
     def counted(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if found:
             both, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(times.astype(np.int64))], names=["a", "b", "shared"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(both[:, k]) for k in range(4)), pa.array(times.astype(np.int64))], names=["a", "b", "na", "nb", "shared"])
 
     prefixed = docs.mapInArrow(prefixes, "id long, prefix binary").where(F.octet_length("prefix") > 0)
     # Repeated rows of one id are one set.
     joined = prefixed.join(reps.select("id", "n", "component"), "id").dropDuplicates(["id"])
-    found = joined.mapInArrow(deal, "p long, blob binary").repartition(parts(spark, entries, 1 << 20), "p").mapInArrow(lists, "a long, b long, shared long")
-    pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    size = reps.select("id", "n")
-    sized = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    found = joined.mapInArrow(deal, "p long, blob binary").repartition(parts(spark, entries, 1 << 20), "p").mapInArrow(lists, "a long, b long, na long, nb long, shared long")
+    sized = found.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     beyond = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")  # noqa: E731  what lies outside a prefix
     return sized.where((100 + percent) * (F.col("shared") + F.greatest(beyond("na"), beyond("nb"))) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
