@@ -3,8 +3,8 @@
 A neighbour graph is started from vectors that fall together when sorted by random projections, and refined: whoever
 two neighbours of a vector are, they are compared with each other (neighbours-of-neighbours joins), and lists keep the
 best. Only lists that changed take part in the next round. A list whose last entry is still a link is saturated: there
-may be more links than it has room for. Such lists are enlarged to the whole component that the links found so far
-make up, compared block by block. Recall is audited against brute force for a sample of vectors, and if it falls short
+may be more links than it has room for. Every pair that was compared and is a link bonds its ends, whether or not a list
+has room for it; saturated lists are enlarged to the whole component that the bonds make up, compared block by block. Recall is audited against brute force for a sample of vectors, and if it falls short
 the graph is started again with more projections on top of what is known. Links are the pairs at the threshold or above
 it in double precision.
 
@@ -26,8 +26,11 @@ from ._graph import components
 from ._runtime import durable, parts
 
 LINK = 0.9
+EDGES = "a long, b long, sim double, bond long"
 #: Length of neighbour lists; similarity from which neighbours are kept; vectors of a chunk in the start.
 LIST, FLOOR, CHUNK = 12, 0.6, 128
+#: The sim of rows that are bonds only.
+NO_LIST = -9.0
 TABLES, ROUNDS = 12, 6
 #: Vectors of a block in comparisons of whole components; audited vectors, and the recall asked for.
 BLOCK, AUDIT, RECALL = 512, 200, 0.97
@@ -66,8 +69,8 @@ def _by_size(vectors: DataFrame) -> list[tuple[int, int]]:
     return [(r["d"], r["n"]) for r in vectors.groupBy((F.octet_length("v") / 8).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()]
 
 
-def _top(x: np.ndarray, ids: np.ndarray, many: int) -> pd.DataFrame:
-    """Each vector's `many` best among the others, from FLOOR on."""
+def _top(x: np.ndarray, ids: np.ndarray, many: int, link: float) -> pd.DataFrame:
+    """Each vector's `many` best among the others, from FLOOR on, and the bonds of all links."""
     sim = x @ x.T
     np.fill_diagonal(sim, -2)
     if len(x) - 1 > many:
@@ -76,11 +79,29 @@ def _top(x: np.ndarray, ids: np.ndarray, many: int) -> pd.DataFrame:
         best = np.tile(np.arange(len(x)), (len(x), 1))
     value = np.take_along_axis(sim, best, axis=1)
     row, col = np.nonzero(value >= FLOOR)
-    return pd.DataFrame({"a": ids[row], "b": ids[best[row, col]], "sim": value[row, col]})
+    near = pd.DataFrame({"a": ids[row], "b": ids[best[row, col]], "sim": value[row, col], "bond": 0})
+    return pd.concat([near, _bonds(sim >= link, ids)])
 
 
-def start(vectors: DataFrame, dim: int, count: int, seed: int, tables: int = TABLES) -> DataFrame:
-    """Edges (a, b, sim) between vectors that fall into one chunk of a random projection.
+def _bonds(linked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """(a, b) from each vector to the first of its component, where `linked` is a symmetric matrix of links.
+
+    These stars are as good as all the links for telling components, and no more than there are vectors.
+    """
+    if not linked.any():
+        return pd.DataFrame({"a": ids[:0], "b": ids[:0], "sim": np.empty(0), "bond": np.empty(0, int)})
+    least = ids.copy()
+    while True:
+        lower = np.minimum(least, np.where(linked, least[None, :], least[:, None]).min(axis=1))
+        if (lower == least).all():
+            break
+        least = lower
+    away = least != ids
+    return pd.DataFrame({"a": ids[away], "b": least[away], "sim": NO_LIST, "bond": 1})
+
+
+def start(vectors: DataFrame, dim: int, count: int, seed: int, tables: int = TABLES, link: float = LINK) -> DataFrame:
+    """Edges (a, b, sim, bond) between vectors that fall into one chunk of a random projection.
 
     Vectors are dealt by the signs of as many projections as leave about CHUNK in a cell; fuller cells (alike vectors)
     are cut along one more projection, with the ids to tell equals apart.
@@ -108,7 +129,7 @@ def start(vectors: DataFrame, dim: int, count: int, seed: int, tables: int = TAB
 
         def out(rows: list) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                yield pa.RecordBatch.from_pandas(_top(np.stack([np.frombuffer(v) for _, v in rows]), np.array([i for i, _ in rows]), LIST), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(_top(np.stack([np.frombuffer(v) for _, v in rows]), np.array([i for i, _ in rows]), LIST, link), preserve_index=False)
 
         for batch in batches:
             for t, c, i, v in zip(*(batch.column(k).to_pylist() for k in ("t", "cell", "id", "v")), strict=True):
@@ -119,7 +140,7 @@ def start(vectors: DataFrame, dim: int, count: int, seed: int, tables: int = TAB
                 held.append((i, v))
         yield from out(held)
 
-    return dealt.repartitionByRange(n, "t", "cell", "along", "id").sortWithinPartitions("t", "cell", "along", "id").mapInArrow(near, "a long, b long, sim double")
+    return dealt.repartitionByRange(n, "t", "cell", "along", "id").sortWithinPartitions("t", "cell", "along", "id").mapInArrow(near, EDGES)
 
 
 def best_lists(edges: DataFrame, size: int) -> DataFrame:
@@ -129,10 +150,19 @@ def best_lists(edges: DataFrame, size: int) -> DataFrame:
     return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
 
 
-def descend(lists: DataFrame, vectors: DataFrame, count: int, size: int = LIST) -> DataFrame:
+def lists_and_bonds(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists of LIST neighbours (a, b, sim, fresh), and all bonds (a, b) among `edges`, in one pass over them."""
+    one = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min(F.when(F.col("bond") == 0, F.col("fresh"))).alias("fresh"), F.max("bond").alias("bond"))
+    placed = one.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")))
+    listed = (F.col("place") <= LIST) & (F.col("sim") > NO_LIST)
+    both = durable(placed.withColumn("listed", listed).where("listed OR bond = 1").drop("place"))
+    return both.where("listed").select("a", "b", "sim", "fresh"), both.where("bond = 1").select("a", "b")
+
+
+def descend(lists: DataFrame, vectors: DataFrame, count: int, size: int = LIST, link: float = LINK) -> tuple[DataFrame, DataFrame]:
     """One round: the neighbours of each vector, in either direction, are compared with each other.
 
-    Pairs of two old neighbours have been compared before and are left out.
+    Pairs of two old neighbours have been compared before and are left out. Returns the lists and the round's bonds.
     """
     both = lists.select("a", "b", "sim", "fresh").unionByName(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "fresh"))
     # A vector that very many have in their lists keeps the best of them.
@@ -149,7 +179,8 @@ def descend(lists: DataFrame, vectors: DataFrame, count: int, size: int = LIST)
                 x, new, own = np.stack([np.frombuffer(v) for v in vs]), np.array(fresh, bool), np.array(ids)
                 sim = x @ x.T
                 row, col = np.nonzero((sim >= FLOOR) & (new[:, None] | new[None, :]) & (own[:, None] != own[None, :]))
-                yield pd.DataFrame({"a": own[row], "b": own[col], "sim": sim[row, col]})
+                yield pd.DataFrame({"a": own[row], "b": own[col], "sim": sim[row, col], "bond": 0})
+                yield _bonds((sim >= link) & (own[:, None] != own[None, :]), own)
 
         made = []
         for batch in batches:
@@ -167,24 +198,24 @@ def descend(lists: DataFrame, vectors: DataFrame, count: int, size: int = LIST)
         if made:
             yield _unique(made)
 
-    found = joined.select("a", "b", "fresh", "v").repartition(n, "a").sortWithinPartitions("a").mapInArrow(compare, "a long, b long, sim double")
-    return best_lists(lists.select("a", "b", "sim", F.lit(0).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(1))), size)
+    found = joined.select("a", "b", "fresh", "v").repartition(n, "a").sortWithinPartitions("a").mapInArrow(compare, EDGES)
+    return lists_and_bonds(lists.select("a", "b", "sim", F.lit(0).alias("fresh"), F.lit(0).alias("bond")).unionByName(found.withColumn("fresh", F.lit(1))))
 
 
 def _unique(made: list[pd.DataFrame]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pandas(pd.concat(made).drop_duplicates(["a", "b"]), preserve_index=False)
+    return pa.RecordBatch.from_pandas(pd.concat(made).drop_duplicates(["a", "b", "bond"]), preserve_index=False)
 
 
-def enlarge(lists: DataFrame, vectors: DataFrame, link: float, size: int = LIST) -> tuple[DataFrame, DataFrame]:
+def enlarge(lists: DataFrame, bonds: DataFrame, vectors: DataFrame, link: float, size: int = LIST) -> tuple[DataFrame, DataFrame]:
     """(links of lists that were saturated, vectors that they belong to).
 
-    A saturated vector is compared with its whole component, in blocks of BLOCK x BLOCK vectors, each a task's work.
+    A saturated vector is compared with its whole component (by links and bonds), in blocks of BLOCK x BLOCK vectors, each a task's work.
     """
     links = lists.where(F.col("sim") >= link)
     full = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size).select(F.col("a").alias("id"))
     if full.isEmpty():
         return links.limit(0).select("a", "b", "sim"), full
-    place = durable(components(links.select("a", "b")))
+    place = durable(components(links.select("a", "b").unionByName(bonds)))
     wanted = place.join(full, "id").select("component").distinct()
     sizes = place.join(wanted, "component").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     # The blocks of a component: dealt by a hash of the id, so that no order over all its members is needed.
@@ -243,22 +274,24 @@ def find_links(vectors: DataFrame, link: float = LINK) -> tuple[DataFrame, float
     """All found links (a, b, sim) in both directions, and the audited recall."""
     counts = _by_size(vectors)
     count = sum(n for _, n in counts)
-    lists, recall, links = None, 1.0, None
+    lists, recall, links, bonds = None, 1.0, None, None
     for attempt in range(3):
         for d, n in counts:
-            begun = start(vectors.where(F.octet_length("v") == 8 * d), d, n, 100 * attempt + 7, TABLES * (attempt + 1)).withColumn("fresh", F.lit(1))
+            begun = start(vectors.where(F.octet_length("v") == 8 * d), d, n, 100 * attempt + 7, TABLES * (attempt + 1), link).withColumn("fresh", F.lit(1))
             lists = begun if lists is None else lists.unionByName(begun)
         if lists is None:
             return vectors.sparkSession.createDataFrame([], "a long, b long, sim double"), 1.0
-        lists = durable(best_lists(lists.select("a", "b", "sim", "fresh"), LIST))
+        lists, tied = lists_and_bonds(lists.select("a", "b", "sim", "fresh", "bond"))
+        bonds = tied if bonds is None else bonds.unionByName(tied)
         known = None
         for _ in range(ROUNDS):
             state = lists.where(F.col("sim") >= link).count()
             if known is not None and state <= known * 1.001:
                 break
             known = state
-            lists = durable(descend(lists, vectors, count))
-        more, inside = enlarge(lists, vectors, link)
+            lists, tied = descend(lists, vectors, count, link=link)
+            bonds = bonds.unionByName(tied)
+        more, inside = enlarge(lists, bonds, vectors, link)
         # A link is in the list of one end at least; whole components take the place of the lists of their members.
         own = lists.where(F.col("sim") >= link).select("a", "b", "sim").join(inside.select(F.col("id").alias("a")), "a", "left_anti")
         every = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).unionByName(more)
@@ -266,7 +299,7 @@ def find_links(vectors: DataFrame, link: float = LINK) -> tuple[DataFrame, float
         recall = audit(links, vectors, link, count)
         if recall >= RECALL:
             break
-        lists = lists.select("a", "b", "sim", F.lit(0).alias("fresh"))
+        lists = lists.select("a", "b", "sim", F.lit(0).alias("fresh"), F.lit(0).alias("bond"))
     return links, recall
 
 
