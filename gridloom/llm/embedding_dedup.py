@@ -4,9 +4,10 @@ A neighbour graph is started from vectors that fall together when sorted by rand
 two neighbours of a vector are, they are compared with each other (neighbours-of-neighbours joins), and lists keep the
 best. Only lists that changed take part in the next round. A list whose last entry is still a link is saturated: there
 may be more links than it has room for. Every pair that was compared and is a link bonds its ends, whether or not a list
-has room for it; saturated lists are enlarged to the whole component that the bonds make up, compared block by block. Recall is audited against brute force for a sample of vectors, and if it falls short
-the graph is started again with more projections on top of what is known. Links are the pairs at the threshold or above
-it in double precision.
+has room for it; saturated lists are enlarged to the whole component that the bonds make up, compared block by block.
+Recall is audited against brute force for a sample of vectors, each vector by its own links, and if it falls short the
+graph is started again with more projections on top of what is known; a recall that stays short is an error. Links are
+the pairs at the threshold or above it in double precision.
 
 Equal vectors are one vector for all this and count as often as they occur.
 """
@@ -32,8 +33,16 @@ LIST, FLOOR, CHUNK = 12, 0.6, 128
 #: The sim of rows that are bonds only.
 NO_LIST = -9.0
 TABLES, ROUNDS = 12, 6
+#: Chance that a pair at the threshold meets in no cell of the start; starts before the recall is given up.
+MISS, TRIES = 0.005, 5
 #: Vectors of a block in comparisons of whole components; audited vectors, and the recall asked for.
-BLOCK, AUDIT, RECALL = 512, 200, 0.97
+BLOCK, AUDIT, RECALL = 512, 2000, 0.97
+#: Vectors with about as many links are audited apart, if at least so many of them were drawn.
+STRATUM = 20
+
+
+class RecallError(RuntimeError):
+    """Too many links are missing after all starts."""
 
 
 def distinct_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -100,13 +109,27 @@ def _bonds(linked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[away], "b": least[away], "sim": NO_LIST, "bond": 1})
 
 
+def _bits(count: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, count) / CHUNK))))
+
+
+def tables_for(count: int, link: float = LINK) -> int:
+    """So many tables that a pair at the threshold misses the same cell in all of them with a chance of MISS.
+
+    Two vectors at an angle lie on the same side of a random plane with a chance of 1 - angle / pi, and cells have more
+    planes the more vectors there are.
+    """
+    hit = (1 - np.arccos(np.clip(link, -1, 1)) / np.pi) ** _bits(count)
+    return TABLES if hit >= 1 else max(TABLES, int(np.ceil(np.log(MISS) / np.log1p(-hit))))
+
+
 def start(vectors: DataFrame, dim: int, count: int, seed: int, tables: int = TABLES, link: float = LINK) -> DataFrame:
     """Edges (a, b, sim, bond) between vectors that fall into one chunk of a random projection.
 
     Vectors are dealt by the signs of as many projections as leave about CHUNK in a cell; fuller cells (alike vectors)
     are cut along one more projection, with the ids to tell equals apart.
     """
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / CHUNK))))
+    bits = _bits(count)
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((tables, bits + 1, dim))
 
@@ -241,7 +264,11 @@ def enlarge(lists: DataFrame, bonds: DataFrame, vectors: DataFrame, link: float,
 
 
 def audit(links: DataFrame, vectors: DataFrame, link: float, count: int) -> float:
-    """The share of the links of AUDIT vectors (chosen by a hash) that were found; brute force against all vectors."""
+    """The recall of AUDIT vectors (chosen by a hash), by brute force against all vectors.
+
+    It is the mean over vectors of the share of their links that were found, so that a vector with one link counts as
+    much as one in a large group; the least of this mean over all and over those with few, some and very many links.
+    """
     share = min(1.0, AUDIT / max(1, count))
     drawn = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) < int(share * (1 << 30))
     queries = vectors.where(drawn).select("id", "v").limit(4 * AUDIT).collect()
@@ -253,31 +280,37 @@ def audit(links: DataFrame, vectors: DataFrame, link: float, count: int) -> floa
         by[d] = (np.array([r["id"] for r in own]), np.stack([np.frombuffer(bytes(r["v"])) for r in own]))
 
     def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for d, (ids, q) in by.items():
-                rows = [(i, v) for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True) if len(v) == d]
-                if rows:
-                    sim = q @ np.stack([np.frombuffer(v) for _, v in rows]).T
-                    own = np.array([i for i, _ in rows])
-                    r, c = np.nonzero((sim >= link) & (ids[:, None] != own[None, :]))
-                    a += ids[r].tolist()
-                    b += own[c].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                a, b = [], []
+                for d, (ids, q) in by.items():
+                    rows = [(i, v) for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True) if len(v) == d]
+                    if rows:
+                        sim = q @ np.stack([np.frombuffer(v) for _, v in rows]).T
+                        own = np.array([i for i, _ in rows])
+                        r, c = np.nonzero((sim >= link) & (ids[:, None] != own[None, :]))
+                        a += ids[r].tolist()
+                        b += own[c].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     there = vectors.select("id", "v").mapInArrow(true, "a long, b long")
-    row = there.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits")).first()
-    return row["hits"] / row["n"] if row["n"] else 1.0
+    each = there.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    stratum = F.when(F.col("n") < 4, 0).when(F.col("n") < LIST, 1).when(F.col("n") < BLOCK, 2).otherwise(3)
+    rows = each.groupBy(stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hits") / F.col("n")).alias("recall")).collect()
+    if not rows:
+        return 1.0
+    return min([sum(r["recall"] for r in rows) / sum(r["n"] for r in rows)] + [r["recall"] / r["n"] for r in rows if r["n"] >= STRATUM])
 
 
 def find_links(vectors: DataFrame, link: float = LINK) -> tuple[DataFrame, float]:
-    """All found links (a, b, sim) in both directions, and the audited recall."""
+    """All found links (a, b, sim) in both directions, and the audited recall, which is RECALL at least."""
     counts = _by_size(vectors)
     count = sum(n for _, n in counts)
     lists, recall, links, bonds = None, 1.0, None, None
-    for attempt in range(3):
+    for attempt in range(TRIES):
         for d, n in counts:
-            begun = start(vectors.where(F.octet_length("v") == 8 * d), d, n, 100 * attempt + 7, TABLES * (attempt + 1), link).withColumn("fresh", F.lit(1))
+            begun = start(vectors.where(F.octet_length("v") == 8 * d), d, n, 100 * attempt + 7, tables_for(n, link) * (attempt + 1), link).withColumn("fresh", F.lit(1))
             lists = begun if lists is None else lists.unionByName(begun)
         if lists is None:
             return vectors.sparkSession.createDataFrame([], "a long, b long, sim double"), 1.0
@@ -298,9 +331,9 @@ def find_links(vectors: DataFrame, link: float = LINK) -> tuple[DataFrame, float
         links = durable(every.groupBy("a", "b").agg(F.max("sim").alias("sim")))
         recall = audit(links, vectors, link, count)
         if recall >= RECALL:
-            break
+            return links, recall
         lists = lists.select("a", "b", "sim", F.lit(0).alias("fresh"), F.lit(0).alias("bond"))
-    return links, recall
+    raise RecallError(f"an audited recall of {recall:.4f} after {TRIES} starts is below {RECALL}")
 
 
 def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", link: float = LINK) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicate vectors whose neighbour lists are too short for their links."""
 
 import numpy as np
+import pytest
 
 from gridloom.llm import embedding_dedup
 
@@ -27,3 +28,33 @@ def test_links_beyond_the_lists(spark):
     assert near[:20, 20:40].any()
     assert [rows[i]["n_links"] for i in range(60)] == (near.sum(1) - 1).tolist()
     assert {rows[i]["component_id"] for i in range(40)} == {0} and [i for i in range(60) if rows[i]["kept"]] == [0, *range(40, 60)]
+
+
+def test_audit_of_skewed_links(spark):
+    """All links of one large group are found and none of 30 pairs: most links, but not those of most vectors."""
+    rng = np.random.default_rng(6)
+    pairs = np.repeat(_unit(rng.normal(size=(30, 64))), 2, axis=0) + 0.03 * rng.normal(size=(60, 64))
+    x = np.concatenate([_clusters(rng, 64, _unit(rng.normal(size=(1, 64))), 100, 0.05), _unit(pairs)])
+    a, b = np.nonzero((x @ x.T >= 0.9) & ~np.eye(160, dtype=bool))
+    vectors = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(x)], "id long, many long, v binary")
+    every = [(int(i), int(j), 1.0) for i, j in zip(a, b)]
+    found = [e for e in every if e[0] < 100]
+    assert len(every) == 9960 and len(found) / len(every) > embedding_dedup.RECALL
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long, sim double")
+    assert embedding_dedup.audit(links(found), vectors, 0.9, 160) < 0.1
+    assert embedding_dedup.audit(links(every), vectors, 0.9, 160) == 1
+
+
+def test_recall_that_stays_short(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TRIES", 1)
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *a: 0.5)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    with pytest.raises(embedding_dedup.RecallError):
+        embedding_dedup.near_vectors(vectors)
+
+
+def test_tables_grow_with_the_cells():
+    side = 1 - np.arccos(0.9) / np.pi
+    for count in (100, 10_000, 100_000, 1_000_000, 100_000_000):
+        cell = side ** max(0, np.ceil(np.log2(count / embedding_dedup.CHUNK)))
+        assert (1 - cell) ** embedding_dedup.tables_for(count) <= embedding_dedup.MISS
