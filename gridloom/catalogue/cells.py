@@ -197,7 +197,7 @@ low AS (SELECT id, x0, y0, x0 + w AS x1, y0 + h / 2 AS y1 FROM k), up AS (SELECT
 
 @query(f"WITH {grid_sql()}, {_L} SELECT g.ix, g.iy, round(sum(CASE WHEN r.id IS NOT NULL THEN {part_sql('g', 'r')} END) / {_NUMBER}, 6) AS cov FROM g LEFT JOIN both_parts r ON {touch_sql('g', 'r')} GROUP BY g.ix, g.iy")
 def feat_cov_polygon(spark, sf_dir):
-    return rounded(feat.calculate(lay.grid(spark), lay.corners(spark, sf_dir), "cov"))
+    return rounded(feat.calculate(lay.grid(spark), lay.fifth_of_corners(spark, sf_dir), "cov"))
 
 
 @query(f"{_WITH_B} SELECT ix, iy, bool_or(coalesce(val > 300000 AND cat = 'O', false)) AS condition FROM o GROUP BY ix, iy")

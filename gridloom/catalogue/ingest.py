@@ -118,7 +118,7 @@ _K = """k AS (SELECT o_orderkey AS id, CAST(10 + o_orderkey % 60 AS DOUBLE) AS w
 
 @query(f"WITH {_K} SELECT id, round(w * h * 0.75e0, 6) AS area, round(1 - 0.75e0 / 0.875e0, 6) AS concavity_index, round(3.5449077e0 * sqrt(w * h * 0.75e0) / (w + h + w / 2 + h / 2 + sqrt(w * w / 4 + h * h / 4)), 6) AS detour_index FROM k")
 def shape_hull_idx(spark, sf_dir):
-    made = wra.shape_metrics(lay.corners(spark, sf_dir), buffers=False)
+    made = wra.shape_metrics(lay.fifth_of_corners(spark, sf_dir), buffers=False)
     return made.select("id", *[F.round(c, 6).alias(c) for c in ("area", "concavity_index", "detour_index")])
 
 
@@ -131,7 +131,7 @@ def shape_buffer_idx(spark, sf_dir):
 @query(f"WITH {_K} SELECT id, round(w * h * 0.75e0, 6) AS area, 7 AS points FROM k")
 def geom_fix(spark, sf_dir):
     """Rings with a spike and the wrong turn are put right."""
-    shapes = lay.corners(spark, sf_dir)
+    shapes = lay.fifth_of_corners(spark, sf_dir)
     ring = F.col("geometry.parts")[0][0]
     spiked = F.reverse(F.concat(F.slice(ring, 1, 2), F.array(geo.xy(ring[1]["x"] + 5, ring[1]["y"])), F.slice(ring, 2, F.size(ring) - 1)))
     broken = shapes.select("id", geo.from_parts("Polygon", F.array(F.array(spiked))).alias("geometry"))
