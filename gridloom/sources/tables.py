@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import csv
-import io
 import re
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = (";", ",", "|")
-HEADER_CHARS, SAMPLE_BYTES = 20_000, 1_000_000
+HEADER_CHARS = 20_000
+WHOLE, NUMBER, DAY = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", r"^\d{4}-\d{1,2}-\d{1,2}$"
 #: Types that a sidecar file can declare (fixed values of the format).
 DECLARED = {"String": "string", "Integer": "bigint", "Real": "double", "DateTime": "timestamp_ntz", "Date": "date", "Time": "string"}
 
@@ -28,24 +27,20 @@ def separator(header: str) -> str:
     raise TableError("no separator is found in the header")
 
 
-def guess(values: list[str]) -> str:
-    """Type of a column from its texts, empty ones aside."""
-    seen = [v for v in values if v != ""]
-    if not seen:
-        return "string"
-
-    def day(v: str) -> bool:
-        try:
-            datetime.strptime(v, "%Y-%m-%d")
-        except ValueError:
-            return False
-        return True
-
-    if all(re.fullmatch(r"[+-]?\d+", v) for v in seen):
-        return "boolean" if set(seen) <= {"0", "1"} else "bigint"
-    if all(re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", v) for v in seen):
-        return "bigint" if all(float(v).is_integer() for v in seen) else "double"
-    return "timestamp_ntz" if all(map(day, seen)) else "string"
+def guess_all(text: DataFrame) -> list[str]:
+    """Types of the columns from all their texts, empty ones aside, in one aggregation."""
+    tests = []
+    for i, n in enumerate(text.columns):
+        c = F.col(f"`{n}`")
+        number = F.when(c.rlike(NUMBER), c.try_cast("double"))
+        day = F.when(c.rlike(DAY), c.try_cast("date"))
+        whole = c.rlike(WHOLE) & c.try_cast("bigint").isNotNull()
+        rounded = (number == F.floor(number)) & number.try_cast("decimal(38,0)").try_cast("bigint").isNotNull()
+        flags = {"flag": c.isin("0", "1"), "integer": whole | rounded, "digits": c.rlike(WHOLE), "number": number.isNotNull(), "day": day.isNotNull()}
+        tests += [F.count(c).alias(f"seen{i}"), *[F.bool_and(F.when(c.isNotNull(), F.coalesce(f, F.lit(False)))).alias(f"{k}{i}") for k, f in flags.items()]]
+    row = text.agg(*tests).first()
+    kinds = (("flag", "boolean"), ("integer", "bigint"), ("digits", "string"), ("number", "double"), ("day", "timestamp_ntz"))
+    return [next((kind for k, kind in kinds if row[f"seen{i}"] and row[f"{k}{i}"]), "string") for i in range(len(text.columns))]
 
 
 def declared(line: str) -> list[str]:
@@ -60,38 +55,37 @@ def declared(line: str) -> list[str]:
 
 
 def read_table(spark: SparkSession, path: str, encoding: str = "utf-8", types: str | None = None) -> DataFrame:
-    """A table with the types of its columns, guessed from its first megabyte or declared in the file `types`.
+    """A table with the types of its columns, guessed from all rows or declared in the file `types`.
 
-    A whole number with a decimal point counts as whole; empty texts are null. The guess sets types for all rows; values
-    that don't fit are null.
+    A whole number with a decimal point counts as whole, and whole numbers too long for a bigint are text; empty texts
+    are null. A value that does not fit a declared type is an error when it is read.
     """
-    head = spark.read.text(path).limit(20_000).collect()
-    if not head:
+    head = spark.read.text(path).first()
+    if head is None:
         raise TableError(f"{path} is empty")
-    sample, size = [], 0
-    for r in head:
-        size += len(r["value"]) + 1
-        if size > SAMPLE_BYTES and len(sample) > 1:
-            break
-        sample.append(r["value"])
-    header = sample[0].lstrip("﻿")[:HEADER_CHARS]
+    header = head["value"].lstrip("\ufeff")[:HEADER_CHARS]
     sep = separator(header)
     names = [n.strip().strip('"') for n in next(csv.reader([header], delimiter=sep))]
     if types:
         kinds = declared(spark.read.text(types).first()["value"])
         if len(kinds) != len(names):
             raise TableError("as many types as columns must be declared")
-    else:
-        rows = [r for r in csv.reader(io.StringIO("\n".join(sample[1:])), delimiter=sep) if len(r) == len(names)]
-        kinds = [guess([r[i] for r in rows]) for i in range(len(names))]
     text = spark.read.csv(path, sep=sep, header=True, encoding=encoding, nullValue="", schema=", ".join(f"`{n}` string" for n in names))
+    if not types:
+        kinds = guess_all(text)
 
     def typed(n: str, k: str):
         c = F.col(f"`{n}`")
+        if k == "string":
+            return c
         if k == "bigint":
-            return F.coalesce(c.try_cast("bigint"), F.floor(c.try_cast("double")).cast("bigint"))
-        if k == "boolean":
-            return F.when(c == "1", True).when(c == "0", False)
-        return c if k == "string" else c.try_cast(k)
+            number = c.try_cast("double")
+            made = F.coalesce(c.try_cast("bigint"), F.when(number == F.floor(number), number.try_cast("decimal(38,0)").try_cast("bigint")))
+        elif k == "boolean":
+            made = F.when(c == "1", True).when(c == "0", False)
+        else:
+            made = c.try_cast(k)
+        wrong = F.raise_error(F.concat(F.lit(f"column {n}: not a {k}: "), c))
+        return F.when(c.isNull() | made.isNotNull(), made).otherwise(wrong.cast(k))
 
     return text.select(*[typed(n, k).alias(n) for n, k in zip(names, kinds, strict=True)])

@@ -9,6 +9,7 @@ from gridloom.catalogue import ingest
 from gridloom.catalogue import layers as lay
 from gridloom.functions import geometry as geo
 from gridloom.operators import wrangle
+from gridloom.sources import tables
 
 ORDERS = [(k, (k * 37) % 150 + 1) for k in range(1, 41)]
 
@@ -32,3 +33,19 @@ def test_all_orders_are_corners(spark, folder):
         assert math.isclose(r["detour_index"], 3.5449077 * math.sqrt(0.75 * w * h) / (1.5 * (w + h) + math.hypot(w, h) / 2), rel_tol=1e-6)
     fixed = wrangle.fix_geometries(lay.corners(spark, folder)).agg(F.count("geometry"), F.sum(geo.area(F.col("geometry")))).first()
     assert fixed[0] == len(ORDERS) and math.isclose(fixed[1], sum(0.75 * (10 + k % 60) * (10 + c % 50) for k, c in ORDERS))
+
+
+def test_types_of_late_values(spark, tmp_path):
+    """Values after the first 20,000 lines count for the types, and none is changed or lost."""
+    path = tmp_path / "late.csv"
+    early = "1;1;2020-01-05;7;4.0;12345678901234567890;"
+    late = "3.7;2;someday;x;5;1;"
+    path.write_text("\n".join(["a;b;c;d;e;f;g", *[early] * 20_500, late]) + "\n")
+    made = tables.read_table(spark, str(path))
+    assert [t for _, t in made.dtypes] == ["double", "bigint", "string", "string", "bigint", "string", "string"]
+    assert tuple(made.where("d = 'x'").first()) == (3.7, 2, "someday", "x", 5, "1", None)
+    assert made.where("a = 1 AND b = 1 AND c = '2020-01-05' AND d = '7' AND e = 4 AND f = '12345678901234567890'").count() == 20_500
+    kinds = tmp_path / "late.csvt"
+    kinds.write_text('"Integer","Integer","String","String","Integer","String","String"\n')
+    with pytest.raises(Exception, match="not a bigint: 3.7"):
+        tables.read_table(spark, str(path), types=str(kinds)).collect()
