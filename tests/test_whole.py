@@ -2,13 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.catalogue import ingest
 from gridloom.catalogue import layers as lay
 from gridloom.functions import geometry as geo
-from gridloom.operators import wrangle
+from gridloom.operators import models, wrangle
 from gridloom.sources import tables
 
 ORDERS = [(k, (k * 37) % 150 + 1) for k in range(1, 41)]
@@ -49,3 +50,10 @@ def test_types_of_late_values(spark, tmp_path):
     kinds.write_text('"Integer","Integer","String","String","Integer","String","String"\n')
     with pytest.raises(Exception, match="not a bigint: 3.7"):
         tables.read_table(spark, str(path), types=str(kinds)).collect()
+
+
+def test_svr_learns_from_rows_after_the_first_2000():
+    x = np.concatenate([np.linspace(-3, -1, 2000), np.linspace(1, 3, 400)])[:, None]
+    y = np.where(x[:, 0] < 0, 0.0, 10.0)
+    made = models._numpy_predict("svr", models._numpy_fit("svr", x, y, 0), np.array([[-2.0], [2.0]]))
+    assert np.allclose(made, [0, 10], atol=0.5)
