@@ -108,7 +108,7 @@ def introspect(spark, sf_dir):
 @query()
 def shap_tree(spark, sf_dir):
     model = mod.Model.train("rfor", frame(spark, sf_dir), FEATURES, seed=1)
-    made = mod.shap_values(model, wide(spark, sf_dir), rows=20, seed=1)
+    made = mod.shap_values(model, wide(spark, sf_dir))
     return made.select("geohash", "feature", F.round("shap", 6).alias("shap"))
 
 

@@ -1,12 +1,13 @@
 """Queries and operators over all of their input."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.catalogue import ingest
+from gridloom.catalogue import ingest, learn
 from gridloom.catalogue import layers as lay
 from gridloom.functions import geometry as geo
 from gridloom.operators import models, wrangle
@@ -57,3 +58,46 @@ def test_svr_learns_from_rows_after_the_first_2000():
     y = np.where(x[:, 0] < 0, 0.0, 10.0)
     made = models._numpy_predict("svr", models._numpy_fit("svr", x, y, 0), np.array([[-2.0], [2.0]]))
     assert np.allclose(made, [0, 10], atol=0.5)
+
+
+def test_shapley_values_of_many_rows():
+    """Against the sum over all orders in which the features become known."""
+    leaf = lambda v, n: {"value": v, "size": n, "feature": -1}
+    split = lambda f, t, n, left, right: {"value": 0.0, "size": n, "feature": f, "threshold": t, "left": left, "right": right}
+    nodes = [split(0, 0.0, 10.0, 1, 4), split(1, 0.5, 4.0, 2, 3), leaf(1.0, 1.0), leaf(5.0, 3.0), split(0, 1.0, 6.0, 5, 6), leaf(-2.0, 2.0), split(2, 0.0, 4.0, 7, 8), leaf(9.0, 1.0), leaf(4.0, 3.0)]
+
+    def value(row, known, at=0):
+        node = nodes[at]
+        if node["feature"] < 0:
+            return node["value"]
+        sides = [node["left"], node["right"]]
+        if node["feature"] in known:
+            return value(row, known, sides[int(row[node["feature"]] > node["threshold"])])
+        return sum(nodes[k]["size"] / node["size"] * value(row, known, k) for k in sides)
+
+    x = np.random.default_rng(2).normal(size=(25, 3))
+    want = np.zeros((25, 3))
+    for i, row in enumerate(x):
+        for order in itertools.permutations(range(3)):
+            for k, f in enumerate(order):
+                want[i, f] += (value(row, order[: k + 1]) - value(row, order[:k])) / 6
+    assert np.allclose(models.shapley_of_tree(nodes, x), want) and np.allclose(models.shapley_of_tree(nodes, x[0]), want[0])
+
+
+def test_shap_tree_is_asked_for_all_cells(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(learn, "frame", lambda *a: None)
+    monkeypatch.setattr(learn, "wide", lambda *a: None)
+    monkeypatch.setattr(learn.mod.Model, "train", staticmethod(lambda *a, **k: None))
+    monkeypatch.setattr(learn.mod, "shap_values", lambda model, wide, rows=None, seed=None: asked.update(rows=rows) or _Frame())
+    monkeypatch.setattr(learn.F, "round", lambda *a: _Frame())
+    learn.shap_tree(None, "")
+    assert asked == {"rows": None}
+
+
+class _Frame:
+    def select(self, *columns):
+        return self
+
+    def alias(self, name):
+        return self
