@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterable
 
 import regex
 
@@ -53,6 +54,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.added = spec["model"], [t["content"] for t in spec.get("added_tokens", [])]
+        self.apart = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab, letters = model["vocab"], _byte_letters()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -105,6 +107,29 @@ class Encoder:
         """Ids of a text by the library alone."""
         return b"".join([i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids])
 
+    def words_of(self, text: str) -> Iterable[str | bytes]:
+        """The words of a text in order, for tokenizers without word ends; added tokens come as bytes.
+
+        Usual texts are split by `words`, others by the library's own pre-tokenizer, whose idea of letters and digits
+        may be of another version of Unicode.
+        """
+        if self.special(text):
+            for at, part in enumerate(self.apart.split(text)):
+                if at % 2:
+                    yield part.encode()
+                else:
+                    yield from self.words_of(part)
+        elif self.plain_byte.fullmatch(text):
+            yield from self.words.findall(text) if len(text) < 1 << 20 else (m[0] for m in self.words.finditer(text))
+        else:
+            yield from (text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text))
+
+    def ids_of(self, word: str | bytes) -> list[int]:
+        """Ids of a word of `words_of`."""
+        if isinstance(word, bytes):
+            return [self.library.token_to_id(word.decode())]
+        return self.core.encode_single_piece(word.encode()) if self.core is not None else self.library.encode(word, add_special_tokens=False).ids
+
     def special(self, text: str) -> bool:
         return any(t in text for t in self.added)
 

@@ -1,45 +1,49 @@
-"""BPE encoding and decoding through a distinct-word table.
+"""BPE encoding and decoding through a table of distinct words.
 
-Encoding splits each block of texts into words, makes a table of its distinct words, encodes every word of the table
-once and joins the ids back to the words by position. The table of a block is bounded by the block; words met before by
-the same worker come from a cache of a bounded size. Decoding joins ids to the pieces of the vocabulary by id.
+Texts are split into words, block by block; a block ends when it has WORDS distinct ones. What is kept of a text is the
+places of its words in the block's word list. The blocks' words are dealt by a hash, so that all occurrences of a word
+meet in one task and each distinct word of the corpus is encoded once there. The ids go back to their block, and texts
+take them from it by position. Decoding joins ids to the pieces of the vocabulary, a table of a bounded size, by id.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._runtime import durable
 from ._tokenize import Encoder, encoder
 from ._words import slices
 
+#: Distinct words of a block; hash pieces that words are dealt to, for each shuffle partition.
+WORDS, PIECES = 200_000, 4
+#: The kind of rows that hold texts; others hold words or ids of one hash piece.
+TEXTS = -1
 
-def encode_block(texts: list[str], code: Encoder) -> list[np.ndarray]:
-    """Ids of each text. Distinct words are encoded once; positions then take their ids from the table."""
-    table: dict[str, int] = {}
-    where: list[np.ndarray | None] = []
-    for text in texts:
-        words = code.split(text)
-        where.append(None if words is None else np.fromiter((table.setdefault(w, len(table)) for w in words), np.int64, len(words)))
-    coded = [code._word(w) for w in table]
-    size = np.fromiter((len(c) // 4 for c in coded), np.int64, len(coded))
-    begin = np.cumsum(size) - size
-    flat = np.frombuffer(b"".join(coded), "<u4")
-    out = []
-    for text, at in zip(texts, where, strict=True):
-        if at is None:
-            out.append(np.frombuffer(code.whole(text), "<u4"))
-            continue
-        n = size[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        out.append(flat[np.repeat(begin[at] - (ends - n), n) + np.arange(total)])
-    return out
+
+def _packed(*arrays: np.ndarray | bytes) -> bytes:
+    """The arrays on end, compressed."""
+    data = b"".join(a if isinstance(a, bytes) else a.tobytes() for a in arrays)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of `flat` with the numbers `at`, on end."""
+    n = size[at]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(begin[at] - (ends - n), n) + np.arange(total)]
 
 
 class Pieces:
@@ -57,29 +61,149 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The pieces of the ids on end; bytes that are no UTF-8 become replacement characters."""
-        ids = ids.astype(np.int64)
-        n = self.size[ids]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.begin[ids] - (ends - n), n) + np.arange(total)].tobytes().decode("utf-8", "replace")
+        return _runs(self.flat, self.begin, self.size, ids.astype(np.int64)).tobytes().decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int) of each whole text, as the tokenizers library encodes it without special tokens.
+def split(docs: DataFrame, tokenizer: str, pieces: int) -> DataFrame:
+    """Blocks of texts as places in word lists: block, kind, ids (the documents'), data.
 
-    Null text counts as empty and has no ids. Repeated rows and null ids are coded like all others; other columns are
-    ignored.
+    kind TEXTS: how many words each text has, and their places in the block's list. Other kinds are hash pieces: the
+    places, lengths and bytes of the words of that piece. A word that is an added token has the byte 0xFF before it.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code, table = encoder(tokenizer), {}
+        block = TaskContext.get().partitionId() << 33
+
+        def row(kind: int, ids: pa.Array, data: bytes) -> pa.RecordBatch:
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), ids, pa.array([data], pa.binary())], names=["block", "kind", "ids", "data"])
+
+        def words(none: pa.Array) -> Iterator[pa.RecordBatch]:
+            dealt: dict[int, tuple[list, list]] = {}
+            for at, word in enumerate(table):
+                word = b"\xff" + word if isinstance(word, bytes) else word.encode()
+                held = dealt.setdefault(zlib.crc32(word) % pieces, ([], []))
+                held[0].append(at)
+                held[1].append(word)
+            for piece, (at, own) in dealt.items():
+                yield row(piece, none, _packed(np.array([len(at)], "<u4"), np.array(at, "<u4"), np.array([len(w) for w in own], "<u4"), b"".join(own)))
+
+        none = None
         for batch in batches:
             for part in slices(batch):
-                ids = encode_block([t or "" for t in part.column("text").to_pylist()], code)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                places = [np.fromiter((table.setdefault(w, len(table)) for w in code.words_of(t or "")), "<u4") for t in part.column("text").to_pylist()]
+                none = part.column("doc_id").slice(0, 0)
+                yield row(TEXTS, part.column("doc_id"), _packed(np.array([len(p) for p in places], "<u4"), *places))
+                if len(table) >= WORDS:
+                    yield from words(none)
+                    table.clear()
+                    block += 1
+        if table:
+            yield from words(none)
+
+    return docs.mapInArrow(run, f"block long, kind int, ids array<{kind}>, data binary")
+
+
+def word_ids(words: DataFrame, tokenizer: str, pieces: int) -> DataFrame:
+    """Encode the words of `split`'s hash pieces, each distinct word once: block, kind, ids (null), data (the places,
+    numbers of ids and ids of the words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, table, at = encoder(tokenizer), {}, None
+        for batch in batches:
+            out = []
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if kind != at:
+                    table, at = {}, kind
+                data = _unpacked(data)
+                n = int.from_bytes(data[:4], "little")
+                begin, ids, size = 4 + 8 * n, [], np.frombuffer(data, "<u4", n, 4 + 4 * n)
+                for k in size.tolist():
+                    word = data[begin : begin + k]
+                    begin += k
+                    own = table.get(word)
+                    if own is None:
+                        own = table[word] = code.ids_of(word[1:] if word[:1] == b"\xff" else word.decode())
+                    ids.append(own)
+                out.append(_packed(data[: 4 + 4 * n], np.array([len(x) for x in ids], "<u4"), np.array([i for x in ids for i in x], "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("kind"), pa.array(out, pa.binary())], names=["block", "kind", "data"])
+
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = words.select("block", "kind", "data").repartition(n, "kind").sortWithinPartitions("kind")
+    return dealt.mapInArrow(run, "block long, kind int, data binary")
+
+
+def _coded(docs: DataFrame, tokenizer: str, names: list[str], kinds: str, columns: Callable[[Pieces, list[np.ndarray]], list[pa.Array]]) -> DataFrame:
+    """doc_id and what `columns` makes of the ids of each text."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = durable(split(docs, tokenizer, PIECES * n))
+    words = word_ids(blocks.where(F.col("kind") != TEXTS), tokenizer, PIECES * n)
+    texts = blocks.where(F.col("kind") == TEXTS)
+    rows = words.select("block", "kind", F.lit(None).cast(blocks.schema["ids"].dataType).alias("ids"), "data").unionByName(texts)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(tokenizer)
+        pieces, at, held, table = Pieces(code), None, [], None
+        for batch in batches:
+            docs = batch.column("ids")
+            for i, (block, kind, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "data")), strict=True)):
+                if block != at:
+                    at, held, table = block, [], None
+                data = _unpacked(data)
+                if kind != TEXTS:
+                    held.append(data)
+                    continue
+                if table is None:
+                    table = _word_list(held)
+                    held = []
+                ids = docs[i].values
+                size = np.frombuffer(data, "<u4", len(ids)).astype(np.int64)
+                places = np.frombuffer(data, "<u4", offset=4 * len(ids))
+                ends = np.cumsum(size)
+                # About a million words at a time.
+                cuts = [0, *(np.flatnonzero(np.diff(ends >> 20)) + 1).tolist(), len(ids)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if b > a:
+                        own = [_runs(*table, places[e - n : e]) for e, n in zip(ends[a:b].tolist(), size[a:b].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns(pieces, own)], names=["doc_id", *names])
+
+    # A block's ids (kinds from 0 on) come before its texts.
+    dealt = rows.withColumn("late", F.col("kind") == TEXTS).repartition(n, "block").sortWithinPartitions("block", "late").drop("late")
+    return dealt.mapInArrow(run, f"doc_id {kind}, {kinds}")
+
+
+def _word_list(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a block's words on end, and where each word's begin and how many they are."""
+    places, sizes, ids = [], [], []
+    for data in held:
+        n = int.from_bytes(data[:4], "little")
+        places.append(np.frombuffer(data, "<u4", n, 4))
+        sizes.append(np.frombuffer(data, "<u4", n, 4 + 4 * n))
+        ids.append(np.frombuffer(data, "<u4", offset=4 + 8 * n))
+    if not held:
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, one = np.concatenate(places), np.concatenate(sizes).astype(np.int64)
+    begin, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    begin[place], size[place] = np.cumsum(one) - one, one
+    return np.concatenate(ids), begin, size
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array of int) of each whole text, as the tokenizers library encodes it without special tokens.
+
+    For byte-level tokenizers without word ends. Null text counts as empty and has no ids. Repeated rows and null ids
+    are coded like all others; other columns are ignored, and an empty table gives an empty result.
+    """
+    made = lambda pieces, ids: [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
+    return _coded(_source(docs, id_col, text_col), tokenizer, ["ids"], "ids array<int>", made)
 
 
 def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
@@ -95,23 +219,14 @@ def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode each whole text: doc_id, n_tokens, ids_sha256, decoded_sha256 (see `encode`)."""
-    source = docs.select("doc_id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
-        pieces = Pieces(code)
-        for batch in batches:
-            for part in slices(batch):
-                ids = encode_block([t or "" for t in part.column("text").to_pylist()], code)
-                columns = [
-                    part.column("doc_id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(pieces.decode(x).encode()).hexdigest() for x in ids]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(pieces: Pieces, ids: list[np.ndarray]) -> list[pa.Array]:
+        return [
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
+            pa.array([hashlib.sha256(pieces.decode(x).encode()).hexdigest() for x in ids]),
+        ]
+
+    return _coded(_source(docs, id_col, text_col), tokenizer, ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
