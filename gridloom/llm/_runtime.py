@@ -15,12 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is named (tests, a laptop) is a
-    temporary one set.
+    The folder is the one the session names in spark.checkpoint.dir; only on one machine (tests, a laptop) is a
+    temporary one set where none is named.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridloom-"))
     return df.checkpoint(eager=True)
 
 
@@ -29,24 +32,39 @@ def parts(spark: SparkSession, rows: int, per_part: int, least: int | None = Non
     return max(int(least or spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` does not have (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def global_rank(df: DataFrame, order: list[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Add each row's place (from 0) in the total order of `order`, without a single-partition window.
 
     Rows are range-partitioned and sorted; what goes through one task is the row count of each partition. `order`
     must tell rows apart (or rows that it leaves tied must be interchangeable) and should be cheap to compute: pass a
-    durable frame.
+    durable frame. `df` must not have a column `name`; other names don't matter.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = 33
-    ranged = durable(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    counts = ranged.groupBy(F.shiftright("_at", bits).alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()
-    before, total = {}, 0
-    for row in sorted(counts, key=lambda r: r["_part"]):
-        before[row["_part"]], total = total, total + row["_n"]
-    starts = spark.createDataFrame(sorted(before.items()) or [(0, 0)], "_part long, _before long")
-    placed = ranged.withColumn("_part", F.shiftright("_at", bits)).join(F.broadcast(starts), "_part")
-    return placed.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << bits) - 1))).drop("_part", "_at", "_before")
+    at, part, before = fresh(df, "_at", "_part", "_before")
+    ranged = durable(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    counts = ranged.groupBy(F.shiftright(at, bits).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows, total = [], 0
+    for row in sorted(counts, key=lambda r: r["p"]):
+        rows.append(f"({row['p']}L, {total}L)")
+        total += row["n"]
+    # A row for each partition, as a local relation of the plan: no Python workers make it.
+    starts = spark.sql(f"SELECT p AS `{part}`, b AS `{before}` FROM VALUES {', '.join(rows or ['(0L, 0L)'])} AS t(p, b)")
+    placed = ranged.withColumn(part, F.shiftright(at, bits)).join(F.broadcast(starts), part)
+    return placed.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << bits) - 1))).drop(part, at, before)
 
 
 def text_of(column: str | Column = "text") -> Column:
