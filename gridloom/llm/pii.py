@@ -15,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._runtime import fresh
+
 ROUNDS = 10
-DAYS, LEFT, RIGHT, ERAS = 73000, 250, 292, 3
+#: Dates are permuted within eras of DAYS days (LEFT x RIGHT); there are ERAS, the first of them begins BEFORE eras
+#: before FIRST_DAY, so that all days of the years 102 to 9893 are covered.
+DAYS, LEFT, RIGHT, ERAS, BEFORE = 73000, 250, 292, 49, 8
 FIRST_DAY = "1700-01-01"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -38,7 +42,8 @@ def _quote(text: str) -> str:
 
 
 def _digest(key: str, kind: str, turn: str, half: str) -> str:
-    return f"sha2(concat_ws('|', {_quote(key)}, '{kind}', {turn}, {half}), 512)"
+    """SQL: a keyed digest, the key hashed in again over the first digest."""
+    return f"sha2(concat({_quote(key)}, sha2(concat_ws('|', {_quote(key)}, '{kind}', {turn}, {half}), 512)), 512)"
 
 
 def _shifted(half: str, digest: str) -> str:
@@ -96,9 +101,9 @@ def _refill(mask: str, chars: str) -> str:
 
 def _date(day: str, pattern: str, key: str, kind: str) -> str:
     """SQL: another day in the match's format, or null where the match is no day of the covered years."""
-    number = f"datediff(to_date(try_to_timestamp({day}, '{pattern}')), date'{FIRST_DAY}')"
+    number = f"datediff(to_date(try_to_timestamp({day}, '{pattern}')), date'{FIRST_DAY}') + {BEFORE * DAYS}"
     moved = number_feistel(f"(x % {DAYS}) div {RIGHT}", f"(x % {DAYS}) % {RIGHT}", LEFT, RIGHT, key, kind)
-    out = f"date_format(date_add(date'{FIRST_DAY}', cast(x div {DAYS} * {DAYS} + y.l * {RIGHT} + y.r as int)), '{pattern}')"
+    out = f"date_format(date_add(date'{FIRST_DAY}', cast((x div {DAYS} - {BEFORE}) * {DAYS} + y.l * {RIGHT} + y.r as int)), '{pattern}')"
     return _let("x", number, f"CASE WHEN x >= 0 AND x < {DAYS * ERAS} THEN {_let('y', moved, out)} END")
 
 
@@ -131,19 +136,21 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
 
     key: any string; who has it can tell whether a value has a given pseudonym, so it is to be kept secret. Null texts
     stay null with a count of 0, empty texts stay empty. Rows are handled on their own: ties, repeated rows and other
-    columns pass through. A column named like `count_col` is replaced; with None the count is left out.
+    columns pass through, whatever their names. A column named like `count_col` is replaced; with None the count is left
+    out. The key stands in the plan: redact event logs (spark.sql.redaction.string.regex) where others can read them.
     """
     pattern = "|".join(PATTERNS.values())
     at = f"`{text_col}`"
+    found, made, between = fresh(docs, "_found", "_made", "_between")
     parts = F.expr(f"CASE WHEN {at} rlike '[0-9@]' THEN regexp_extract_all({at}, {_quote(pattern)}, 0) END")
-    found = docs.withColumn("_found", parts)
-    made = F.expr(f"CASE WHEN size(_found) > 0 THEN transform(_found, m -> named_struct('old', m, 'new', {pseudonym('m', key)})) END")
+    new = F.expr(f"CASE WHEN size({found}) > 0 THEN transform({found}, m -> named_struct('old', m, 'new', {pseudonym('m', key)})) END")
     # The pieces between matches, then each match after the piece before it.
-    between = F.expr(f"split({at}, {_quote(pattern)}, -1)")
-    text = F.expr("array_join(zip_with(_between, _made, (b, f) -> concat(b, coalesce(f.new, f.old, ''))), '')")
-    out = found.withColumn("_made", made).withColumn("_between", F.when(F.size("_made") > 0, between))
-    out = out.withColumn(text_col, F.when(F.size("_made") > 0, text).otherwise(F.col(text_col)))
+    pieces = F.expr(f"split({at}, {_quote(pattern)}, -1)")
+    text = F.expr(f"array_join(zip_with({between}, {made}, (b, f) -> concat(b, coalesce(f.new, f.old, ''))), '')")
+    out = docs.withColumn(found, parts).withColumn(made, new)
+    out = out.withColumn(between, F.when(F.size(made) > 0, pieces))
+    out = out.withColumn(text_col, F.when(F.size(made) > 0, text).otherwise(F.col(text_col)))
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.expr("cast(size(filter(_made, f -> f.new IS NOT NULL)) as bigint)"), F.lit(0)).cast("long"))
-        out = out.withColumn(count_col, F.greatest(F.col(count_col), F.lit(0).cast("long")))
-    return out.drop("_found", "_made", "_between")
+        n = F.expr(f"cast(size(filter({made}, f -> f.new IS NOT NULL)) as bigint)")
+        out = out.withColumn(count_col, F.greatest(F.coalesce(n, F.lit(0).cast("long")), F.lit(0).cast("long")))
+    return out.drop(found, made, between)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,8 +12,17 @@ from pyspark.sql import functions as F
 from . import bpe_codec, chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, packing, pii, sharding, toxicity
 from ._runtime import fold, table
 
-#: The key of the pseudonyms. Production runs name a secret one in this setting.
-KEY_SETTING, KEY = "spark.gridloom.pii.key", "gridloom test key"
+#: The setting that names the secret key of the pseudonyms.
+KEY_SETTING = "spark.gridloom.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The session's key; where none is set, a random one for this session, whose pseudonyms no other run repeats."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def _held_out(buckets: int, held: int) -> Column:
@@ -44,7 +54,7 @@ def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, KEY))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op7_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +69,7 @@ def op8_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chat_format.preferences(table(spark, sf_dir, "conversations"))
     flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["begin"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias(c)
-    return made.select("pair_id", "chosen_id", "rejected_id", "prompt_turns", "prompt", "chosen", "rejected", flat("chosen_mask"), flat("rejected_mask"))
+    return made.select("pair_id", "chosen_id", "rejected_id", "kind", "prompt_turns", "prompt", "chosen", "rejected", flat("chosen_mask"), flat("rejected_mask"))
 
 
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +99,20 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 WITH conv AS (
   SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS turns
   FROM conversations GROUP BY conv_id
+), keyed AS (
+  SELECT *, md5(turns[1].role || chr(10) || turns[1].text) AS first,
+    coalesce(list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')), 0) AS answer
+  FROM conv
 ), ranked AS (
-  SELECT *, row_number() OVER (ORDER BY md5(turns[1].text), conv_id) - 1 AS rank FROM conv
+  SELECT *, row_number() OVER (ORDER BY first, conv_id) - 1 AS rank FROM keyed
+), met AS (
+  SELECT a.rank AS pair_id, a.conv_id AS chosen_id, b.conv_id AS next_id, a.turns AS c, b.turns AS other, a.answer AS own, b.answer AS other_own,
+    CASE WHEN a.first = b.first THEN 'sibling' WHEN a.answer > 0 AND b.answer > 0 THEN 'swapped' ELSE 'alone' END AS kind
+  FROM ranked a LEFT JOIN ranked b ON b.rank = a.rank + 1
 ), pairs AS (
-  SELECT a.rank // 2 AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.turns AS c, coalesce(b.turns, []) AS r
-  FROM ranked a LEFT JOIN ranked b ON b.rank = a.rank + 1 WHERE a.rank % 2 = 0
+  SELECT pair_id, chosen_id, CASE WHEN kind <> 'alone' THEN next_id END AS rejected_id, kind, c,
+    CASE kind WHEN 'sibling' THEN other WHEN 'swapped' THEN list_concat(c[:own - 1], other[other_own:other_own]) ELSE [] END AS r
+  FROM met
 ), cut AS (
   SELECT *, CAST(coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: i > len(c) OR i > len(r) OR c[i] IS DISTINCT FROM r[i])) - 1, len(c)) AS INTEGER) AS prompt_turns
   FROM pairs
@@ -105,7 +124,7 @@ WITH conv AS (
     list_transform(rr, lambda t: length(t.role) + length(t.text) + 24) AS rl
   FROM side
 )
-SELECT pair_id, chosen_id, rejected_id, prompt_turns,
+SELECT pair_id, chosen_id, rejected_id, kind, prompt_turns,
   coalesce(array_to_string(list_transform(p, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), ''), '') AS prompt,
   coalesce(array_to_string(list_transform(cc, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), ''), '') AS chosen,
   coalesce(array_to_string(list_transform(rr, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), ''), '') AS rejected,
