@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve.
 
-Several metadata columns are quantised to a fixed number of bits, rows are sorted by their place on the Hilbert curve
+Several metadata columns are quantised to a fixed number of bits by the ranks of their values, rows are sorted by their place on the Hilbert curve
 through those cells, and the sorted run is cut into shards with the same number of rows. Neighbours on the curve are
 close in every dimension, so each shard (and each file and row group in it) covers a small range of all of them and
 filters on any of them can skip most files.
@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ._runtime import durable, global_rank, text_of
+from ._runtime import durable, fresh, global_rank, text_of
 
 BITS = 10
-PREFIX = 6
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -51,41 +50,50 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def string_rank(column: Column) -> Column:
-    """A number that orders strings as their first bytes do; null comes first."""
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, PREFIX)), 2 * PREFIX, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-
-
-def hilbert_order(df: DataFrame, dims: dict[str, Column], bits: int = BITS) -> DataFrame:
+def hilbert_order(df: DataFrame, dims: dict[str, Column], bits: int = BITS, curve: str = "curve") -> DataFrame:
     """Add `curve`: the place of each row's quantised `dims` on the Hilbert curve.
 
-    Each dimension is scaled linearly between its least and greatest value over all rows; null counts as the least.
-    `df` is read twice, so it should be durable.
+    The distinct values of a dimension are ranked (null first) and their ranks scaled to the cells, so that values that
+    begin alike or lie close together still get cells of their own. `df` is read several times, so it should be durable;
+    it must not have a column named like `curve`, other names don't matter.
     """
-    names = [f"_dim{i}" for i in range(len(dims))]
-    valued = df.select("*", *[c.cast("double").alias(n) for n, c in zip(names, dims.values(), strict=True)])
-    ends = valued.agg(*[f(n).alias(f"{n}{k}") for n in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    top = (1 << bits) - 1
-
-    def cell(n: str) -> Column:
-        lo, hi = ends[f"{n}lo"], ends[f"{n}hi"]
-        if lo is None or hi <= lo:
-            return F.lit(0).cast("long")
-        return F.coalesce(F.floor((F.col(n) - F.lit(lo)) / F.lit(hi - lo) * top), F.lit(0)).cast("long")
+    if curve.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {curve}")
+    names = fresh(df, *[f"_dim{i}" for i in range(len(dims))])
+    valued = df.select("*", *[c.alias(n) for n, c in zip(names, dims.values(), strict=True)])
+    base = valued
+    for n in names:
+        distinct = durable(base.select(F.col(n).alias("value")).distinct())
+        count = max(1, distinct.count())
+        cell = F.expr(f"rank * {1 << bits} div {max(count, 1 << bits)}") if count > 1 << bits else F.expr(f"rank * {(1 << bits) - 1} div {max(count - 1, 1)}")
+        cells = durable(global_rank(distinct, ["value"]).select("value", cell.cast("long").alias("cell")))
+        rest = [c for c in valued.columns if c != n]
+        valued = valued.join(cells, valued[n].eqNullSafe(cells["value"])).select(*[F.col(f"`{c}`") for c in rest], F.col("cell").alias(n))
 
     @F.pandas_udf(LongType())
     def place(*cells: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cells], axis=1), bits))
 
-    return valued.withColumn("curve", place(*[cell(n) for n in names])).drop(*names)
+    return valued.withColumn(curve, place(*[F.col(n) for n in names])).drop(*names)
 
 
-def document_meta(docs: DataFrame) -> DataFrame:
-    """What the shards are cut by: doc_id, size (bytes and 1), text_crc32, lang and source."""
+def document_meta(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """What the shards are cut by: doc_id, size (bytes and 1), text_crc32, lang and source; with `whole` also the row."""
     text = F.encode(text_of("text"), "UTF-8")
     extra = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *extra)
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *extra, *row)
+
+
+def _placed(meta: DataFrame, shards: int, bits: int) -> DataFrame:
+    """`meta` with curve, shard and slot."""
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.col("size")}
+    ordered = hilbert_order(durable(meta), dims, bits).drop("lang", "source")
+    ranked = global_rank(ordered, ["curve", "doc_id", "size", "text_crc32"])
+    total = ranked.count()
+    ranked = ranked.withColumn("shard", F.expr(f"cast(rank * {shards} div {max(total, 1)} as int)"))
+    first = F.expr(f"(shard * cast({total} as bigint) + {shards - 1}) div {shards}")
+    return ranked.withColumn("slot", F.col("rank") - first).drop("rank")
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFrame:
@@ -98,23 +106,19 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFr
     leave tied are equal and take neighbouring slots. Missing lang or source columns count as null, other columns are
     ignored. With fewer rows than shards some shards stay empty.
     """
-    meta = durable(document_meta(docs))
-    dims = {"source": string_rank(F.col("source")), "lang": string_rank(F.col("lang")), "size": F.log2("size")}
-    placed = durable(hilbert_order(meta, dims, bits).select("doc_id", "size", "text_crc32", "curve"))
-    total = placed.count()
-    rank = F.col("rank")
-    shard = F.expr(f"rank * {shards} div {max(total, 1)}")
-    ranked = global_rank(placed, ["curve", "doc_id", "size", "text_crc32"]).withColumn("shard", shard.cast("int"))
-    first = F.expr(f"(shard * cast({total} as bigint) + {shards - 1}) div {shards}")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (rank - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    placed = _placed(document_meta(docs), shards, bits)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = BITS) -> None:
-    """Write the documents themselves as one folder per shard, in curve order within each file.
+    """Write the documents themselves, each row once, as one folder per shard, in curve order within each file.
 
-    Documents are matched to their shard by id, so ids must be unique here.
+    The rows go along with their places, so repeated and null ids are like all others. A column named `shard` (whatever
+    its case) can't be written beside the folders' and is an error.
     """
-    plan = hilbert_shards(docs, shards, bits).select("doc_id", "shard", "slot")
-    joined = docs.join(plan, "doc_id")
+    if "shard" in {c.lower() for c in docs.columns}:
+        raise ValueError("the table has a column shard")
+    placed = _placed(document_meta(docs, whole=True), shards, bits)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined.repartitionByRange(max(n, shards), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    dealt = placed.repartitionByRange(max(n, shards), "shard", "slot").sortWithinPartitions("shard", "slot")
+    dealt.select("row.*", "shard").write.partitionBy("shard").parquet(path)
