@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that are worked on at a time, and bytes of words that are hashed at a time.
+BLOCK_BYTES, HASHED = 1 << 20, 1 << 18
 WIDTH = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -31,15 +32,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about `limit` bytes of text at most; a longer text is a run of its own."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Runs of `rows` rows and about `limit` bytes of text at most; a longer text is a run of its own."""
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = size[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(size, before + limit, "right"))))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -67,19 +68,37 @@ def spans(raw: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE) -> tuple[
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def _polynomials(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sum of (byte + 1) * base ** place over each word's lower-cased bytes, modulo 2**64."""
+    begin = np.cumsum(size) - size
+    local = np.arange(int(size.sum())) - np.repeat(begin, size)
+    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(size.max()), _BASE, np.uint64))), dtype=np.uint64)
+    return np.add.reduceat((_LOWER[raw[np.repeat(starts, size) + local]].astype(np.uint64) + np.uint64(1)) * power[local], begin)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: int | None = None) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased; with `cut`, of its first `cut` bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each word with A-Z lower-cased; with `cut`, of its first `cut` bytes.
+
+    Words are hashed in runs of HASHED bytes, and a longer word in pieces of as many, so that what is held for each
+    byte does not grow with the text.
+    """
     size = ends - starts
     if cut:
         size = np.minimum(size, cut)
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-    begin = np.cumsum(size) - size
-    local = np.arange(len(at)) - np.repeat(begin, size)
-    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(size.max()), _BASE, np.uint64))), dtype=np.uint64)
-    value = (_LOWER[raw[at]].astype(np.uint64) + np.uint64(1)) * power[local]
-    return mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out, upto, begin = np.empty(len(starts), np.uint64), np.cumsum(size), 0
+    while begin < len(starts):
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + HASHED, "right")))
+        if size[begin] <= HASHED:
+            out[begin:end] = _polynomials(raw, starts[begin:end], size[begin:end])
+        else:
+            value = 0
+            for at in range(0, int(size[begin]), HASHED):
+                piece = _polynomials(raw, starts[begin:end] + at, np.minimum(size[begin:end] - at, HASHED))
+                value += int(piece[0]) * pow(int(_BASE), at, 1 << 64)
+            out[begin] = value % (1 << 64)
+        begin = end
+    return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def counts_by_text(starts: np.ndarray, off: np.ndarray) -> np.ndarray:

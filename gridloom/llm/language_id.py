@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._runtime import fold
+from ._runtime import durable, fold
 from ._words import slices, utf8
 
 FEATURES = 4096
@@ -25,7 +26,8 @@ FEATURES = 4096
 TRAIN_ROWS = 4000
 TRAIN_ROWS_EACH = 800
 TRAIN_BYTES = 200_000
-LANGUAGES = 400
+#: Rows of n-gram counts that are held at a time.
+HELD_ROWS = 512
 MARGIN = 0.2
 
 
@@ -121,23 +123,27 @@ def fit(x: np.ndarray, languages: list[str], steps: int = 300, penalty: float =
 def train(docs: DataFrame, features: int = FEATURES) -> Model | None:
     """Learn from labelled rows whose fold is not 2; None if there are none.
 
-    The sample is bounded by TRAIN_ROWS (TRAIN_ROWS_EACH of one language, TRAIN_BYTES of text in a row, the LANGUAGES
-    most frequent) and taken by a hash of the id, so that it is the same in every run.
+    The sample is bounded by TRAIN_ROWS (TRAIN_ROWS_EACH of one language, but one row of each language at least, and
+    TRAIN_BYTES of text in a row). Of each language the rows with the least hashes of id and text are drawn, so that
+    the sample is the same in every run. Texts that are null or longer than TRAIN_BYTES are not learned from.
     """
-    free = docs.where(F.col("lang").isNotNull() & (fold("doc_id", 4) != 2))
-    seen = free.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not seen:
+    free = docs.where(F.col("lang").isNotNull() & (fold("doc_id", 4) != 2) & (F.octet_length("text") <= TRAIN_BYTES))
+    seen = durable(free.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    languages = seen.count()
+    if not languages:
         return None
-    each = max(1, min(TRAIN_ROWS_EACH, TRAIN_ROWS // len(seen)))
-    share = F.lit(None).cast("double")
-    for row in seen:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, each / row["n"]))).otherwise(share)
-    draw = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 40)) / float(1 << 40)) < share
-    sample = free.where(draw & (F.octet_length("text") <= TRAIN_BYTES)).select("lang", "text")
+    each = max(1, min(TRAIN_ROWS_EACH, TRAIN_ROWS // languages))
+    # About twice as many rows as are wanted are drawn by their hash, so that few are ranked; a language of few rows is
+    # drawn whole.
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text")), F.lit(1 << 40))
+    share = F.when(F.col("n") <= 20 * each, 1.0).otherwise(2.0 * each / F.col("n"))
+    near = free.select("lang", "text", draw.alias("draw")).join(F.broadcast(seen) if languages <= 100_000 else seen, "lang").where(F.col("draw") < share * float(1 << 40))
+    first = Window.partitionBy("lang").orderBy("draw", "text")
+    sample = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=HELD_ROWS):
                 x = ngram_counts(part.column("text"), features)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -162,7 +168,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for batch in batches:
             row = batch.column("row")
             text = row.field(kept.index(text_col)) if text_col in kept else batch.column("text")
-            for part in slices(pa.RecordBatch.from_arrays([row, text, batch.column("letters")], names=["row", "text", "letters"])):
+            for part in slices(pa.RecordBatch.from_arrays([row, text, batch.column("letters")], names=["row", "text", "letters"]), rows=HELD_ROWS):
                 letters = part.column("letters").to_numpy(zero_copy_only=False)
                 if model is None:
                     names, score, close = ["und"] * len(letters), np.zeros(len(letters)), np.zeros(len(letters), bool)
