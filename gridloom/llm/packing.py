@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import durable, global_rank
+from ._runtime import durable, fresh, global_rank
 from ._tokenize import encoder
 from ._words import slices
 
@@ -117,8 +117,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Give each piece its sequence_id and offset.
 
-    `pieces` has doc_id, start, length (1 to `window`) and ids_crc32, and any other columns; it is read several times
-    and should be durable. Sequences are numbered from 0: first those of the plan, then the full windows. Pieces of one
+    `pieces` has doc_id, start, length (1 to `window`) and ids_crc32, and any other columns but sequence_id and offset;
+    it is read several times and should be durable. Sequences are numbered from 0: first those of the plan, then the full windows. Pieces of one
     length are ranked by document and start; those that these leave tied are equal.
     """
     spark = pieces.sparkSession
@@ -126,7 +126,8 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     patterns = plan(histogram, window)
     runs = layout(patterns)
     windows = sum(times for _, times in patterns)
-    ranked = global_rank(pieces, ["length", "doc_id", "start", "ids_crc32"])
+    (place_in,) = fresh(pieces, "rank")
+    ranked = global_rank(pieces, ["length", "doc_id", "start", "ids_crc32"], place_in)
     firsts, total = {}, 0
     for length in sorted(histogram):
         firsts[length], total = total, total + histogram[length]
@@ -136,7 +137,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = [], []
-            for length, rank in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist(), strict=True):
+            for length, rank in zip(batch.column("length").to_pylist(), batch.column(place_in).to_pylist(), strict=True):
                 if length >= window:
                     sequence.append(windows + rank - total)
                     offset.append(0)
@@ -146,8 +147,8 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
                 first, window_at, many, at = own[bisect_right(starts, k) - 1]
                 sequence.append(window_at + (k - first) // many)
                 offset.append(at + (k - first) % many * length)
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "rank"]
-            names = [n for n in batch.schema.names if n != "rank"]
+            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != place_in]
+            names = [n for n in batch.schema.names if n != place_in]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(sequence, np.int64)), pa.array(np.array(offset, np.int64))], names=[*names, "sequence_id", "offset"])
 
     schema = pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
