@@ -3,6 +3,10 @@
 Stages, in order: language identification (documents in no language go), exact deduplication, near-duplicate removal
 (one document of each group stays), pseudonyms for personal data, packing. Each stage is written as Parquet and read
 again by the next.
+
+Each stage takes the columns of documents; others are left out, and a missing one is an error. Null ids belong to no group
+of near duplicates; null and empty texts are in no language, so none is left after the first stage. Rows of one id are
+told apart by their texts in the second stage, and taken for one document by the third.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql.window import Window
 from gridloom.llm import exact_dedup as exact
 from gridloom.llm import jaccard_join, language_id, packing, pii
 from gridloom.llm._runtime import durable, table
-from gridloom.llm.queries import KEY, KEY_SETTING
+from gridloom.llm.queries import pii_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,12 +34,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of equal texts, repeated rows included."""
-    stays = exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.select(*COLUMNS).withColumn("_key", F.sha2(F.encode(exact.normalised(F.col("text")), "UTF-8"), 256))
-    kept = keyed.join(stays, (keyed["_key"] == stays["_sha"]) & keyed["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
+    """Keep one row of each group of equal texts, repeated rows included.
+
+    Rows are told by their id. Ids of several rows (or null) tell no row; only those rows are told by their texts too.
+    """
+    told = durable(exact.exact_dedup(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("kept"), F.col("text_sha256"))).alias("stays")))
+    gone = told.where("n > 1 OR size(stays) = 0 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    single = docs.select(*COLUMNS).join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    shared = told.where("(n > 1 OR doc_id IS NULL) AND size(stays) > 0").select(F.col("doc_id").alias("_id"), "stays")
+    again = docs.select(*COLUMNS).join(shared, docs["doc_id"].eqNullSafe(shared["_id"]))
+    again = again.withColumn("_key", F.sha2(F.encode(exact.normalised(F.col("text")), "UTF-8"), 256)).where(F.array_contains("stays", F.col("_key")))
     first = Window.partitionBy("_key", "doc_id").orderBy(F.desc(F.char_length("text")), "text")
-    return kept.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*COLUMNS)
+    again = again.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*COLUMNS)
+    return single.unionByName(again)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +58,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by pseudonyms of the same format."""
-    return pii.pseudonymise(docs.select(*COLUMNS), spark.conf.get(KEY_SETTING, KEY), count_col=None)
+    return pii.pseudonymise(docs.select(*COLUMNS), pii_key(spark), count_col=None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +74,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: No stage but the second can be written in SQL; tests compare them with plain Python.
+#: Learned predictions, pseudonyms and packing can't be written in SQL; tests/llm/test_pipeline.py runs each stage on
+#: cases and against plain Python.
 ORACLE_SQL = None
 
 
