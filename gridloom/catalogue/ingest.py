@@ -223,13 +223,18 @@ def src_ascii_grid(spark, sf_dir):
     return raster.read_cells(spark, path).select("i", "j", "value")
 
 
+WAYS = (4326, 3857, 32632)
+
+
 @query(f"WITH {DISTRICTS} SELECT id, round(x0, 3) AS x, round(y0, 3) AS y FROM d")
 def project_round_trip(spark, sf_dir):
     """Places go to degrees and back in three reference systems; the mean is the place itself."""
     b = F.col("geometry.box")
     x, y = b["x0"] + 4300000, b["y0"] + 3200000
-    ways = [project.transform(*project.transform(x, y, 3035, s), s, 3035) for s in (4326, 3857, 32632)]
-    return lay.districts(spark, sf_dir).select("id", F.round(sum(w[0] for w in ways) / 3 - 4300000, 3).alias("x"), F.round(sum(w[1] for w in ways) / 3 - 3200000, 3).alias("y"))
+    df = lay.districts(spark, sf_dir).select("id", *[project.moved(x, y, 3035, s).alias(f"w{s}") for s in WAYS])
+    df = df.select("id", *[project.moved(F.col(f"w{s}.x"), F.col(f"w{s}.y"), s, 3035).alias(f"w{s}") for s in WAYS])
+    mean = lambda k, less: F.round(sum(F.col(f"w{s}.{k}") for s in WAYS) / len(WAYS) - less, 3).alias(k)
+    return df.select("id", mean("x", 4300000), mean("y", 3200000))
 
 
 OSM = """<osm>

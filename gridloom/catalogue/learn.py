@@ -49,19 +49,36 @@ def model_ols_coef(spark, sf_dir):
     return spark.createDataFrame(made, "feature string, value double").select("feature", F.round("value", 3).alias("value"))
 
 
-def _predict(kind: str):
+def _predict(kind: str, digits: int = 3):
     def run(spark, sf_dir):
         model = mod.Model.train(kind, frame(spark, sf_dir), FEATURES, seed=1)
-        return rounded(model.predict(wide(spark, sf_dir)).join(lay.grid(spark).select("geohash", "ix", "iy"), "geohash"), 3)
+        return rounded(model.predict(wide(spark, sf_dir)).join(lay.grid(spark).select("geohash", "ix", "iy"), "geohash"), digits)
 
     return run
 
 
 _PREDICTED = f"{_FRAME} SELECT ix, iy, round(greatest(my + ca * (a - ma) + cb * (b - mb), 0), 3) AS weight FROM xy, co"
 query(_PREDICTED, "model_ols_predict")(_predict("ols"))
+#: Standardised moments, and the prediction from coefficients wa and wb on standardised features.
+_UNIT = f"{_FRAME}, st AS (SELECT *, (SELECT count(*) FROM xy) AS n, ay / sqrt(aa) AS ca1, by_ / sqrt(bb) AS cb1, ab / sqrt(aa * bb) AS rho FROM mo)"
+_FROM_UNIT = "SELECT ix, iy, round(greatest(my + wa * (a - ma) / sqrt(aa) + wb * (b - mb) / sqrt(bb), 0), 1) AS weight FROM xy, st, w"
+
+
+def _penalised(penalty: str) -> str:
+    """Least squares with `penalty` on the squared coefficients beside the sum of squared errors."""
+    return f"{_UNIT}, w AS (SELECT (ca1 * (1 + k) - cb1 * rho) / ((1 + k) * (1 + k) - rho * rho) AS wa, (cb1 * (1 + k) - ca1 * rho) / ((1 + k) * (1 + k) - rho * rho) AS wb FROM (SELECT *, {penalty} / n AS k FROM st)) {_FROM_UNIT}"
+
+
+_SOFT = "sign({0}) * greatest(abs({0}) - 1, 0)"
+_LASSO = (
+    f"{_UNIT.replace('WITH ', 'WITH RECURSIVE ', 1)}, turns(i, wa, wb) AS (SELECT 0, 0e0, 0e0 UNION ALL "
+    f"SELECT i + 1, na, {_SOFT.format('(cb1 - rho * na)')} FROM (SELECT i, {_SOFT.format('(ca1 - rho * wb)')} AS na, ca1, cb1, rho FROM turns, st WHERE i < 400)), "
+    f"w AS (SELECT wa, wb FROM turns WHERE i = 400) {_FROM_UNIT}"
+)
+_SQL = {"ols": _PREDICTED, "ridge": _penalised("1e0"), "sgd": _penalised("1e-4 * n"), "lasso": _LASSO}
 for _kind in mod.TYPES:
     if _kind != "ols":
-        query(None, f"model_{_kind}")(_predict(_kind))
+        query(_SQL.get(_kind), f"model_{_kind}")(_predict(_kind, 1 if _kind in _SQL else 3))
 
 
 @query(f"{_FRAME} SELECT ix, iy, round(greatest(my + ca * (a - ma) + cb * (b - mb) - 2 * my, 0), 3) AS weight FROM xy, co")
@@ -75,14 +92,14 @@ def model_apply_clip(spark, sf_dir):
 
 @query()
 def model_array(spark, sf_dir):
-    models = mod.train_all(frame(spark, sf_dir), FEATURES, ("ols", "ridge", "rfor"), 1)
+    models = mod.train_all(frame(spark, sf_dir), FEATURES, seed=1)
     rows = [(k, f, v) for k, m in models.items() for f, v in m.importances()]
     return spark.createDataFrame(rows, "model string, feature string, value double").select("model", "feature", F.round("value", 4).alias("value"))
 
 
 @query()
 def model_array_apply(spark, sf_dir):
-    models = mod.train_all(frame(spark, sf_dir), FEATURES, ("ols", "ridge", "knn"), 1)
+    models = mod.train_all(frame(spark, sf_dir), FEATURES, seed=1)
     return rounded(mod.predict_all(models, wide(spark, sf_dir)).join(lay.grid(spark).select("geohash", "ix", "iy"), "geohash"), 3)
 
 

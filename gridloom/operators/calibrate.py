@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOLERANCE, LEAST, MOST_STEPS = 1e-7, 1e-3, 200
+#: Relative change of the error at which it has settled, least residual that weighs, and steps after which it is an error.
+TOLERANCE, LEAST, MOST_STEPS = 1e-7, 1e-3, 5000
 
 
-def _weighted(df: DataFrame, weight, intercept: bool) -> tuple[float, float]:
-    """Slope and intercept of a weighted least-squares line, from one pass of sums."""
+class CalibrationError(RuntimeError):
+    """The error does not settle."""
+
+
+def _sums(weight) -> list:
     x, y, w = F.col("x"), F.col("y"), weight
-    r = df.agg(F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * x * y).alias("xy")).first()
+    return [F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * x * y).alias("xy")]
+
+
+def _line(r, intercept: bool) -> tuple[float, float]:
+    """Slope and intercept of a weighted least-squares line, from its sums."""
     if not r["w"]:
         return 0.0, 0.0
     if not intercept:
@@ -29,21 +37,25 @@ def fit(df: DataFrame, raw: str, known: str, kind: str = "sum", intercept: bool
         r = xy.agg(F.sum("x").alias("x"), F.sum("y").alias("y")).first()
         return (r["y"] / r["x"] if r["x"] else 0.0), 0.0
     if kind == "ols":
-        return _weighted(xy, F.lit(1.0), intercept)
+        return _line(xy.agg(*_sums(F.lit(1.0))).first(), intercept)
     if kind != "lad":
         raise ValueError(f"unknown calibrator: {kind}")
     xy = xy.persist()
-    total = xy.agg(F.sum("y")).first()[0] or 1.0
-    weight, last = F.lit(1.0), None
-    for _ in range(MOST_STEPS):
-        slope, base = _weighted(xy, weight, intercept)
-        miss = F.abs(F.col("x") * slope + base - F.col("y"))
-        error = (xy.agg(F.sum(miss)).first()[0] or 0.0) / total
-        if last is not None and abs(error - last) < TOLERANCE:
-            break
-        last, weight = error, 1 / F.greatest(miss, F.lit(LEAST))
-    xy.unpersist()
-    return slope, base
+    try:
+        first = xy.agg(*_sums(F.lit(1.0)), F.sum("y").alias("total")).first()
+        total, last = abs(first["total"] or 0.0) or 1.0, None
+        line = best = _line(first, intercept)
+        for _ in range(MOST_STEPS):
+            # One pass gives the error of this line and the sums of the next.
+            miss = F.abs(F.col("x") * line[0] + line[1] - F.col("y"))
+            r = xy.agg(*_sums(1 / F.greatest(miss, F.lit(LEAST))), F.sum(miss).alias("error")).first()
+            error = (r["error"] or 0.0) / total
+            if last is not None and abs(error - last) < TOLERANCE:
+                return line if error <= last else best
+            last, best, line = error, line, _line(r, intercept)
+        raise CalibrationError(f"the error has not settled after {MOST_STEPS} steps")
+    finally:
+        xy.unpersist()
 
 
 def calibrate(df: DataFrame, raw: str, known: str, output: str, kind: str = "sum", intercept: bool = True) -> DataFrame:
