@@ -191,13 +191,13 @@ def feat_by_file(spark, sf_dir):
 
 
 #: Area of an L in a cell: its box less the quarter that is cut out.
-_L = f"""k AS (SELECT o_orderkey AS id, CAST((o_orderkey * 7919) % 900 AS DOUBLE) AS x0, CAST((o_custkey * 104729) % 900 AS DOUBLE) AS y0, CAST(10 + o_orderkey % 60 AS DOUBLE) AS w, CAST(10 + o_custkey % 50 AS DOUBLE) AS h FROM orders WHERE o_orderkey % 5 = 0),
+_L = f"""k AS (SELECT o_orderkey AS id, CAST((o_orderkey * 7919) % 900 AS DOUBLE) AS x0, CAST((o_custkey * 104729) % 900 AS DOUBLE) AS y0, CAST(10 + o_orderkey % 60 AS DOUBLE) AS w, CAST(10 + o_custkey % 50 AS DOUBLE) AS h FROM orders),
 low AS (SELECT id, x0, y0, x0 + w AS x1, y0 + h / 2 AS y1 FROM k), up AS (SELECT id, x0, y0 + h / 2 AS y0, x0 + w / 2 AS x1, y0 + h AS y1 FROM k), both_parts AS (SELECT * FROM low UNION ALL SELECT * FROM up)"""
 
 
 @query(f"WITH {grid_sql()}, {_L} SELECT g.ix, g.iy, round(sum(CASE WHEN r.id IS NOT NULL THEN {part_sql('g', 'r')} END) / {_NUMBER}, 6) AS cov FROM g LEFT JOIN both_parts r ON {touch_sql('g', 'r')} GROUP BY g.ix, g.iy")
 def feat_cov_polygon(spark, sf_dir):
-    return rounded(feat.calculate(lay.grid(spark), lay.fifth_of_corners(spark, sf_dir), "cov"))
+    return rounded(feat.calculate(lay.grid(spark), lay.corners(spark, sf_dir), "cov"))
 
 
 @query(f"{_WITH_B} SELECT ix, iy, bool_or(coalesce(val > 300000 AND cat = 'O', false)) AS condition FROM o GROUP BY ix, iy")

@@ -113,12 +113,12 @@ def shape_perim_index(spark, sf_dir):
     return made.select("id", F.round("perim_index", 6).alias("perim_index"))
 
 
-_K = """k AS (SELECT o_orderkey AS id, CAST(10 + o_orderkey % 60 AS DOUBLE) AS w, CAST(10 + o_custkey % 50 AS DOUBLE) AS h FROM orders WHERE o_orderkey % 5 = 0)"""
+_K = """k AS (SELECT o_orderkey AS id, CAST(10 + o_orderkey % 60 AS DOUBLE) AS w, CAST(10 + o_custkey % 50 AS DOUBLE) AS h FROM orders)"""
 
 
 @query(f"WITH {_K} SELECT id, round(w * h * 0.75e0, 6) AS area, round(1 - 0.75e0 / 0.875e0, 6) AS concavity_index, round(3.5449077e0 * sqrt(w * h * 0.75e0) / (w + h + w / 2 + h / 2 + sqrt(w * w / 4 + h * h / 4)), 6) AS detour_index FROM k")
 def shape_hull_idx(spark, sf_dir):
-    made = wra.shape_metrics(lay.fifth_of_corners(spark, sf_dir), buffers=False)
+    made = wra.shape_metrics(lay.corners(spark, sf_dir), buffers=False)
     return made.select("id", *[F.round(c, 6).alias(c) for c in ("area", "concavity_index", "detour_index")])
 
 
@@ -131,7 +131,7 @@ def shape_buffer_idx(spark, sf_dir):
 @query(f"WITH {_K} SELECT id, round(w * h * 0.75e0, 6) AS area, 7 AS points FROM k")
 def geom_fix(spark, sf_dir):
     """Rings with a spike and the wrong turn are put right."""
-    shapes = lay.fifth_of_corners(spark, sf_dir)
+    shapes = lay.corners(spark, sf_dir)
     ring = F.col("geometry.parts")[0][0]
     spiked = F.reverse(F.concat(F.slice(ring, 1, 2), F.array(geo.xy(ring[1]["x"] + 5, ring[1]["y"])), F.slice(ring, 2, F.size(ring) - 1)))
     broken = shapes.select("id", geo.from_parts("Polygon", F.array(F.array(spiked))).alias("geometry"))
@@ -247,6 +247,12 @@ OSM = """<osm>
 <way id="22"><nd ref="5"/><nd ref="6"/><nd ref="7"/><nd ref="8"/><nd ref="5"/><tag k="building" v="yes"/><tag k="height" v="12 m"/></way>
 <way id="23"><nd ref="1"/><nd ref="9"/><tag k="highway" v="road"/></way>
 <way id="24"><nd ref="99"/><tag k="highway" v="lost"/></way>
+<node id="50" lat="20" lon="20"/><node id="51" lat="20" lon="26"/><node id="52" lat="26" lon="26"/><node id="53" lat="26" lon="20"/>
+<way id="60"><nd ref="50"/><nd ref="51"/><nd ref="52"/><nd ref="53"/><nd ref="50"/><tag k="landuse" v="forest"/><tag k="name" v="W"/></way>
+<way id="61"><nd ref="50"/><nd ref="51"/><nd ref="52"/><nd ref="50"/><tag k="highway" v="pedestrian"/><tag k="area" v="yes"/></way>
+<way id="62"><nd ref="50"/><nd ref="51"/><nd ref="50"/><tag k="natural" v="tree_row"/></way>
+<way id="63"><nd ref="50"/><nd ref="51"/><nd ref="52"/><nd ref="50"/><tag k="highway" v="service"/><tag k="area" v="yes"/></way>
+<relation id="31"><member type="way" ref="60" role="outer"/><tag k="type" v="multipolygon"/><tag k="name" v="N"/></relation>
 <relation id="30"><member type="way" ref="20" role="outer"/><member type="way" ref="21" role="outer"/><member type="way" ref="22" role="inner"/><tag k="type" v="multipolygon"/></relation>
 </osm>"""
 
@@ -260,17 +266,18 @@ def osm_nodes(spark, sf_dir):
     return osm.node_features(_osm(spark)).select("id", F.col("geometry.box.x0").alias("lon"), F.col("geometry.box.y0").alias("lat"), F.col("tags")["amenity"].alias("amenity"))
 
 
-@query("SELECT * FROM (VALUES ('way/20', 'LineString', 'note'), ('way/22', 'Polygon', 'building,height'), ('way/23', 'LineString', 'highway')) t(id, type, tags)")
+@query("SELECT * FROM (VALUES ('way/20', 'LineString', 'note'), ('way/22', 'Polygon', 'building,height'), ('way/23', 'LineString', 'highway'), ('way/60', 'Polygon', 'name'), ('way/61', 'LineString', 'area,highway'), ('way/63', 'Polygon', 'area,highway')) t(id, type, tags)")
 def osm_ways(spark, sf_dir):
     store = _osm(spark)
     _, used = osm.relation_features(store)
     return osm.way_features(store, used).select("id", F.col("geometry.type").alias("type"), F.array_join(F.array_sort(F.map_keys("tags")), ",").alias("tags"))
 
 
-@query("SELECT 'relation/30' AS id, 15e0 AS area, 'forest' AS landuse")
+@query("SELECT * FROM (VALUES ('rel/30', 15e0, 'forest', NULL), ('rel/31', 36e0, 'forest', 'N')) t(id, area, landuse, name)")
 def osm_relations(spark, sf_dir):
+    """Relation 30 takes all tags its outer ways share; 31 has a name of its own and takes the other tag only."""
     made, _ = osm.relation_features(_osm(spark))
-    return made.select("id", geo.area(F.col("geometry")).alias("area"), F.col("tags")["landuse"].alias("landuse"))
+    return made.select("id", geo.area(F.col("geometry")).alias("area"), F.col("tags")["landuse"].alias("landuse"), F.col("tags")["name"].alias("name"))
 
 
 @query("SELECT * FROM (VALUES ('building', 'way/22', 12e0), ('place', 'node/9', NULL), ('place', 'way/22', NULL)) t(layer, id, height)")

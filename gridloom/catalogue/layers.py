@@ -75,11 +75,6 @@ def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), shape.alias("geometry"))
 
 
-def fifth_of_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corners that the SQL of feat_cov_polygon, shape_hull_idx and geom_fix is about."""
-    return corners(spark, sf_dir).where("id % 5 = 0")
-
-
 BUILDINGS = """b AS (SELECT *, x0 + w AS x1, y0 + h AS y1 FROM (SELECT o_orderkey AS id, CAST((o_orderkey * 7919) % 960 AS DOUBLE) AS x0,
   CAST((o_custkey * 104729) % 960 AS DOUBLE) AS y0, 5 + o_orderkey % 33 AS w, 5 + o_custkey % 29 AS h, o_totalprice AS val, o_orderstatus AS cat FROM orders))"""
 POINTS = """p AS (SELECT CAST((l_partkey * 37 + l_linenumber * 11) % 1000 AS DOUBLE) AS x, CAST((l_suppkey * 53 + l_orderkey * 17) % 1000 AS DOUBLE) AS y,

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Spark types of declared attribute types.
 TYPES = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean", "date": "date", "datetime": "timestamp_ntz", "time": "string"}
+#: Other names of them.
+ALIASES = {"string": "str", "enumstring": "str", "boolean": "bool"}
 
 
 class AttributeConfigError(ValueError):
@@ -23,7 +25,16 @@ def tag(tags: Column, name: str) -> Column:
 
 
 def selection(spec, tags: Column) -> Column:
-    """A condition: a tag's name (it is there), {tag: values} (it has one of them), or and, or, not of such."""
+    """A condition: a tag's name or {tag: true} (it is there), {tag: values} (it has one of them), or and, or, not of such.
+
+    {"compound": "and", "clauses": [...]} is the same as {"and": [...]}; nothing at all is true.
+    """
+    if spec is None or spec == {} or spec == "":
+        return F.lit(True)
+    if isinstance(spec, dict) and "compound" in spec:
+        if spec["compound"] not in ("and", "or", "not") or not spec.get("clauses"):
+            raise AttributeConfigError(f"not a selection: {spec!r}")
+        return selection({spec["compound"]: spec["clauses"]}, tags)
     if isinstance(spec, str):
         return tag(tags, spec).isNotNull()
     if isinstance(spec, list):
@@ -39,6 +50,8 @@ def selection(spec, tags: Column) -> Column:
         elif key == "not":
             # Of a list only the first clause counts.
             made.append(~selection(value[0] if isinstance(value, list) else value, tags))
+        elif value is True:
+            made.append(tag(tags, key).isNotNull())
         else:
             values = value if isinstance(value, list) else [value]
             made.append(F.coalesce(tag(tags, key).isin([str(v) for v in values]), F.lit(False)))
@@ -50,6 +63,7 @@ def cast(value: Column, kind: str) -> Column:
 
     Any text that is not empty is true.
     """
+    kind = ALIASES.get(kind, kind)
     if kind not in TYPES:
         raise AttributeConfigError(f"unknown type: {kind}")
     if kind == "str":
@@ -62,16 +76,35 @@ def cast(value: Column, kind: str) -> Column:
     return first.try_cast(TYPES[kind])
 
 
+def constant(value, kind: str) -> Column:
+    """A declared value as a type; what is no such value is null, and numbers lose their fraction as integers."""
+    kind = ALIASES.get(kind, kind)
+    if value is None:
+        return F.lit(None).cast(TYPES[kind])
+    if isinstance(value, str):
+        return cast(F.lit(value), kind)
+    if kind == "bool":
+        return F.lit(bool(value))
+    if isinstance(value, bool) and kind == "str":
+        return F.lit(str(value))
+    return F.lit(value).try_cast(TYPES[kind])
+
+
 def getter(spec, tags: Column, kind: str = "str") -> Column:
     """A value drawn from tags.
 
     "name" or {"get": name}: the tag. {"gather": names}: the first that is there. {"alternative": getters}: the first that
     gives a value. {"min": getters}, {"max": getters}: the least or greatest value, null ones skipped. {"constant": v}.
     {"ifpresent": {"key": name, "then": v, "else": getter}}: v where the tag is there. {"switch": {"key": name, "cases":
-    {value: v}, "default": v}}. {"more": getters}: all values that are there, without repeats, as an array.
+    {value: v}, "default": v}}. {"more": getters}: all values that are there, without repeats, as an array. The flat forms
+    {"ifpresent": name, "value": v} and {"switch": name, "cases": {...}} do as well. Declared values get the type, too.
     """
     if isinstance(spec, str):
         return cast(tag(tags, spec), kind)
+    if isinstance(spec, dict) and isinstance(spec.get("switch"), str) and "cases" in spec:
+        spec = {"switch": {"key": spec["switch"], "cases": spec["cases"]}}
+    if isinstance(spec, dict) and isinstance(spec.get("ifpresent"), str) and "value" in spec:
+        spec = {"ifpresent": {"key": spec["ifpresent"], "then": spec["value"]}}
     if not isinstance(spec, dict) or len(spec) != 1:
         raise AttributeConfigError(f"not a getter: {spec!r}")
     ((name, arg),) = spec.items()
@@ -86,16 +119,15 @@ def getter(spec, tags: Column, kind: str = "str") -> Column:
         made = every()
         return made[0] if len(made) == 1 else (F.least if name == "min" else F.greatest)(*made)
     if name == "constant":
-        return F.lit(arg)
+        return constant(arg, kind)
     if name == "ifpresent":
-        return F.when(tag(tags, arg["key"]).isNotNull(), F.lit(arg["then"])).otherwise(getter(arg["else"], tags, kind) if "else" in arg else F.lit(None))
+        return F.when(tag(tags, arg["key"]).isNotNull(), constant(arg["then"], kind)).otherwise(getter(arg["else"], tags, kind) if "else" in arg else F.lit(None))
     if name == "switch":
-        out = F.lit(None)
         chain = None
         for value, result in arg["cases"].items():
             hit = tag(tags, arg["key"]) == value
-            chain = F.when(hit, F.lit(result)) if chain is None else chain.when(hit, F.lit(result))
-        out = F.lit(arg.get("default"))
+            chain = F.when(hit, constant(result, kind)) if chain is None else chain.when(hit, constant(result, kind))
+        out = constant(arg.get("default"), kind)
         return chain.otherwise(out) if chain is not None else out
     if name == "more":
         return F.array_distinct(F.filter(F.array(*every()), lambda v: v.isNotNull()))
@@ -105,11 +137,13 @@ def getter(spec, tags: Column, kind: str = "str") -> Column:
 def extract(df, attributes: list[dict], tags: str = "tags"):
     """The rows with their declared attributes as columns.
 
-    An attribute has name, type, getter and, optionally, selection (where it applies) and restrict (rows without it go).
+    An attribute has name, type, getter and, optionally, selection (where it applies; the word "restrict" is the same as
+    restrict) and restrict (rows without it go).
     Array attributes make a row for each place in them; shorter ones are null beyond their end.
     """
     t = F.col(tags)
     arrays = []
+    attributes = [{**{k: v for k, v in a.items() if k != "selection"}, "restrict": True} if a.get("selection") == "restrict" else a for a in attributes]
     for a in attributes:
         value = getter(a["getter"], t, a.get("type", "str"))
         if "selection" in a:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from .overlay import overlay
+from .overlay import summed
 
 #: Methods that need a source field.
 WITH_SOURCE = ("sum", "avg", "wavg", "dsum", "davg")
@@ -61,39 +61,37 @@ def calculate(grid: DataFrame, layer: DataFrame, methods: str | list[str], sourc
             raise FeatureError(f"method {m} needs a source field")
     values = categories(layer, case) if case else []
     used = ["geometry", *dict.fromkeys([*sources, *([case] if case else [])])]
-    met = overlay(grid, layer.select(*used))
-    columns, tops, lows = [], [], []
+    columns, sums = [], []
     for m in methods:
         for s in sources if m in WITH_SOURCE else [None]:
             num, den, kind = _terms(m, F.col("item")[s].cast("double") if s else None)
             stem = m + (f"_{s}" if s else "")
-            over = {"sum": F.sum(den), "max": F.max(den), "count": F.count(F.lit(1)).cast("double"), "one": F.lit(1.0)}[kind]
-            low = f"_low{len(lows)}"
-            lows.append(over.alias(low))
+            low = f"_{len(sums)}"
+            sums.append((low, den, kind))
             for value in values or [None]:
                 if case:
                     hit = F.col("item")[case] == F.lit(value)
-                    top, name = F.sum(F.when(hit, num).otherwise(0.0)), f"{stem}_{case}_{_as_name(value)}"
+                    top, name = F.when(hit, num).otherwise(0.0), f"{stem}_{case}_{_as_name(value)}"
                 else:
-                    top, name = F.sum(num), stem
-                tops.append(top.alias(f"_top{len(tops)}"))
-                columns.append((name, f"_top{len(tops) - 1}", low))
-    summed = met.groupBy("geohash", "ix", "iy").agg(*tops, *lows)
+                    top, name = num, stem
+                columns.append((name, f"_{len(sums)}", low))
+                sums.append((f"_{len(sums)}", top, "sum"))
+    made = summed(grid, layer.select(*used), sums)
     out = [F.when(F.col(low) == 0, 0.0).otherwise(F.col(top) / F.nullif(F.col(low), F.lit(0.0))).alias(name) for name, top, low in columns]
-    return summed.select("geohash", "ix", "iy", *out)
+    return made.select("geohash", "ix", "iy", *out)
 
 
 def feature_density(grid: DataFrame, layer: DataFrame) -> DataFrame:
     """How many features touch a cell, by its area: 0 in empty cells."""
-    met = overlay(grid, layer.select("geometry"))
-    return met.groupBy("geohash", "ix", "iy").agg((F.count("item") / F.max(geo.box_area(F.col("cell")))).alias("dens_true"))
+    made = summed(grid, layer.select("geometry"), [("n", F.when(F.col("item").isNotNull(), 1.0).otherwise(0.0), "sum"), ("area", geo.box_area(F.col("cell")), "max")])
+    return made.select("geohash", "ix", "iy", (F.col("n") / F.col("area")).alias("dens_true"))
 
 
 def line_density(grid: DataFrame, layer: DataFrame) -> DataFrame:
     """Length of lines inside a cell, by its area: 0 in empty cells."""
-    met = overlay(grid, layer.select("geometry"))
     run = F.when(F.col("item").isNotNull(), geo.length_within(F.col("item")["geometry"], F.col("cell"))).otherwise(0.0)
-    return met.groupBy("geohash", "ix", "iy").agg((F.sum(run) / F.max(geo.box_area(F.col("cell")))).alias("len_true"))
+    made = summed(grid, layer.select("geometry"), [("run", run, "sum"), ("area", geo.box_area(F.col("cell")), "max")])
+    return made.select("geohash", "ix", "iy", (F.col("run") / F.col("area")).alias("len_true"))
 
 
 def condition(grid: DataFrame, layer: DataFrame, expression: str | None = None) -> DataFrame:
@@ -104,9 +102,8 @@ def condition(grid: DataFrame, layer: DataFrame, expression: str | None = None)
     if expression and ";" in expression:
         raise FeatureError("an expression must be a single one")
     layer = layer.withColumn("_holds", F.expr(expression) if expression else F.lit(True)).select("geometry", "_holds")
-    met = overlay(grid, layer)
     holds = F.when(F.col("item")["_holds"], 1).otherwise(0) if expression else F.lit(1)
-    return met.groupBy("geohash", "ix", "iy").agg((F.max(holds) > 0).alias("condition"))
+    return summed(grid, layer, [("holds", holds, "max")]).select("geohash", "ix", "iy", (F.col("holds") > 0).alias("condition"))
 
 
 def target(grid: DataFrame, layer: DataFrame, source: str, relative: bool = False) -> DataFrame:

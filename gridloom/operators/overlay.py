@@ -51,6 +51,28 @@ def overlay(grid: DataFrame, layer: DataFrame, how: str = "left", shape: tuple[f
     return cells.join(matched, ["ix", "iy"], "left").select("geohash", "ix", "iy", "cell", "item")
 
 
+#: Aggregates of `summed`.
+SUMS = {"sum": F.sum, "max": F.max, "count": lambda _: F.count(F.lit(1)).cast("double"), "one": lambda _: F.lit(1.0)}
+
+
+def summed(grid: DataFrame, layer: DataFrame, sums: list[tuple[str, Column, str]]) -> DataFrame:
+    """geohash, ix, iy and aggregates over the features that meet or touch each cell.
+
+    sums: name, expression over item and cell (see `overlay`) and how it is aggregated (a key of SUMS). The aggregates
+    are taken by cell index right after the overlay's join, so that each task adds up what it has and no geometry goes
+    on. A cell without features has what the expressions give for a single null item.
+    """
+    size, x, y = grid_shape(grid)
+    box = F.struct("x0", "y0", "x1", "y1").alias("cell")
+    items = deal(layer.select(F.struct(*[F.col(f"`{c}`") for c in layer.columns]).alias("item"), "geometry"), size, x, y)
+    met = grid.select("ix", "iy", box).join(items, ["ix", "iy"]).where(geo.intersects(F.col("geometry"), F.col("cell"))).drop("geometry")
+    made = met.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("_met"), *[SUMS[how](value).alias(name) for name, value, how in sums])
+    none = F.lit(None).cast(items.schema["item"].dataType).alias("item")
+    cells = grid.select("geohash", "ix", "iy", box, none).join(made, ["ix", "iy"], "left")
+    alone = {"sum": lambda v: v, "max": lambda v: v, "count": lambda _: F.lit(1.0), "one": lambda _: F.lit(1.0)}
+    return cells.select("geohash", "ix", "iy", *[F.when(F.col("_met").isNull(), alone[how](value)).otherwise(F.col(name)).alias(name) for name, value, how in sums])
+
+
 def common_area(left: Column, right: Column) -> Column:
     """Area that two geometries share where at least one is a box."""
     return F.when(right["type"] == "Box", geo.area_within(left, right["box"])).when(left["type"] == "Box", geo.area_within(right, left["box"]))
@@ -87,8 +109,8 @@ def polygon_overlay(left: DataFrame, right: DataFrame, how: str = "inner") -> Da
     if how == "inner":
         return met
     keys = [F.col(f"`{x}`") for x in left.columns]
-    alone = left.select(F.struct(*keys).alias("l")).withColumn("_k", F.monotonically_increasing_id())
-    # Left rows without a partner, by their own content.
-    text = F.to_json("l")
-    missing = alone.withColumn("_t", text).join(met.select(text.alias("_t")).distinct(), "_t", "left_anti")
+    # Left rows without a partner, by a digest of their content.
+    digest = lambda c: F.sha2(F.to_json(c), 256)
+    alone = left.select(F.struct(*keys).alias("l")).withColumn("_t", digest("l"))
+    missing = alone.join(met.select(digest("l").alias("_t")).distinct(), "_t", "left_anti")
     return met.unionByName(missing.select("l"), allowMissingColumns=True)

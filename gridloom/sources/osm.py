@@ -55,11 +55,16 @@ def way_lines(store: dict[str, DataFrame]) -> DataFrame:
 
 
 def is_area(tags: Column, points: Column) -> Column:
-    """Whether a closed way is a polygon: area decides; highways, barriers and junctions are lines."""
-    closed = (F.size(points) > 3) & (F.element_at(points, 1) == F.element_at(points, -1))
+    """Whether a way is closed and stands for an area.
+
+    With the tag area it does, unless that is no or the way is a pedestrian highway; without it highways, barriers and
+    junctions are lines.
+    """
+    closed = F.element_at(points, 1) == F.element_at(points, -1)
     has = lambda k: attributes.tag(tags, k).isNotNull()
     said = attributes.tag(tags, "area")
-    return closed & F.when(said.isNotNull(), said != "no").otherwise(~(has("highway") | has("barrier") | has("junction")))
+    walk = F.coalesce(attributes.tag(tags, "highway") == "pedestrian", F.lit(False))
+    return closed & F.when(said.isNotNull(), (said != "no") & ~walk).otherwise(~(has("highway") | has("barrier") | has("junction")))
 
 
 def node_features(store: dict[str, DataFrame]) -> DataFrame:
@@ -67,23 +72,24 @@ def node_features(store: dict[str, DataFrame]) -> DataFrame:
 
 
 def relation_features(store: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Area relations as polygons; and (way, key, value): tags of their ways that are the relation's from now on.
+    """Area relations as polygons; and (way, key): tags of their outer ways that are a relation's from now on.
 
-    A relation without tags of its own takes those that all its outer ways share.
+    A relation takes the tags that all its outer ways share, as far as it has none of that name itself; its type is left
+    out. Only what it has taken goes from the ways.
     """
     chosen = store["relation"].where(attributes.tag(F.col("tags"), "type").isin(*AREAS))
     members = chosen.select("id", F.col("tags").alias("own"), F.posexplode("member").alias("pos", "m")).where("m._type = 'way'")
     members = members.select("id", "own", "pos", F.col("m._ref").alias("way"), (F.col("m._role") == "inner").alias("inner"))
     lines = way_lines(store).select(F.col("id").alias("way"), "tags", "points")
     met = members.join(lines, "way")
-    plain = F.map_filter("own", lambda k, v: k != "type")
     rows = met.groupBy("id").agg(
-        F.first(plain).alias("own"),
+        F.first("own").alias("own"),
         F.array_sort(F.collect_list(F.struct("pos", "inner", "points"))).alias("ways"),
         F.collect_list(F.when(~F.col("inner"), F.map_entries("tags"))).alias("outer"),
     )
     shared = F.map_from_entries(F.aggregate(F.slice("outer", 2, F.greatest(F.size("outer") - 1, F.lit(0))), F.element_at("outer", 1), lambda a, b: F.array_intersect(a, b)))
-    rows = rows.withColumn("tags", F.when((F.size("own") > 0) | (F.size("outer") == 0), F.col("own")).otherwise(shared))
+    taken = F.when(F.size("outer") > 0, F.map_filter(shared, lambda k, v: ~F.map_contains_key("own", k))).otherwise(F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")))
+    rows = rows.withColumn("taken", taken).withColumn("tags", F.map_filter(F.map_concat("own", "taken"), lambda k, v: k != "type"))
 
     @F.pandas_udf(f"struct<type:string,parts:{geo.PARTS}>")
     def rings(ways: pd.Series) -> pd.DataFrame:
@@ -97,16 +103,20 @@ def relation_features(store: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame
         return pd.DataFrame(out, columns=["type", "parts"])
 
     made = rows.select("id", "tags", of_shape(rings("ways"), 4326).alias("geometry")).where(F.col("geometry").isNotNull() & _usable(F.col("tags")))
-    used = met.join(rows.select("id", "tags").withColumnRenamed("tags", "taken"), "id").where(~F.col("inner")).select("way", F.explode("taken").alias("key", "value")).distinct()
-    return made.select(F.concat(F.lit("relation/"), "id").alias("id"), "tags", "geometry"), used
+    used = met.join(rows.select("id", "taken"), "id").where(~F.col("inner")).select("way", F.explode(F.map_keys("taken")).alias("key")).distinct()
+    return made.select(F.concat(F.lit("rel/"), "id").alias("id"), "tags", "geometry"), used
 
 
 def way_features(store: dict[str, DataFrame], used: DataFrame) -> DataFrame:
-    """Ways as polygons or lines, without the tags that a relation has taken from them."""
-    taken = used.groupBy("way").agg(F.collect_set(F.concat_ws("=", "key", "value")).alias("taken"))
+    """Ways as polygons or lines, without the tags that a relation has taken from them.
+
+    Ways of one point and areas of three points or fewer have no shape.
+    """
+    taken = used.groupBy("way").agg(F.collect_set("key").alias("taken"))
     rows = way_lines(store).join(taken, F.col("id") == F.col("way"), "left")
-    tags = F.when(F.col("taken").isNull(), F.col("tags")).otherwise(F.map_filter("tags", lambda k, v: ~F.array_contains("taken", F.concat_ws("=", k, v))))
+    tags = F.when(F.col("taken").isNull(), F.col("tags")).otherwise(F.map_filter("tags", lambda k, v: ~F.array_contains("taken", k)))
     rows = rows.withColumn("tags", tags).where(_usable(F.col("tags")) & (F.size("points") > 1))
+    rows = rows.where(~is_area(F.col("tags"), F.col("points")) | (F.size("points") > 3))
     ring = F.array(F.array("points"))
     shape = F.when(is_area(F.col("tags"), F.col("points")), geo.from_parts("Polygon", ring, 4326)).otherwise(geo.from_parts("LineString", ring, 4326))
     return rows.select(F.concat(F.lit("way/"), "id").alias("id"), "tags", shape.alias("geometry"))
