@@ -4,7 +4,8 @@ A neighbour graph is started from vectors that fall together when sorted by rand
 two neighbours of a vector are, they are compared with each other (neighbours-of-neighbours joins), and lists keep the
 best. Only lists that changed take part in the next round. A list whose last entry is still a link is saturated: there
 may be more links than it has room for. Every pair that was compared and is a link bonds its ends, whether or not a list
-has room for it; saturated lists are enlarged to the whole component that the bonds make up, compared block by block.
+has room for it; saturated lists are enlarged to the whole component that the bonds make up, whose links are counted
+block by block for each vector (and not written pair by pair).
 Recall is audited against brute force for a sample of vectors, each vector by its own links, and if it falls short the
 graph is started again with more projections on top of what is known; a recall that stays short is an error. Links are
 the pairs at the threshold or above it in double precision.
@@ -230,44 +231,46 @@ def _unique(made: list[pd.DataFrame]) -> pa.RecordBatch:
 
 
 def enlarge(lists: DataFrame, bonds: DataFrame, vectors: DataFrame, link: float, size: int = LIST) -> tuple[DataFrame, DataFrame]:
-    """(links of lists that were saturated, vectors that they belong to).
+    """(id, component) of the vectors whose component (by links and bonds) has a saturated list, and (id, others): how many
+    other rows each of them is linked with.
 
-    A saturated vector is compared with its whole component (by links and bonds), in blocks of BLOCK x BLOCK vectors, each a task's work.
+    Members of such a component are compared with all others of it, in blocks of BLOCK x BLOCK vectors, each a task's
+    work; of a block only each vector's count comes out.
     """
     links = lists.where(F.col("sim") >= link)
     full = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size).select(F.col("a").alias("id"))
     if full.isEmpty():
-        return links.limit(0).select("a", "b", "sim"), full
+        none = links.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
+        return none, none.withColumnRenamed("component", "others")
     place = durable(components(links.select("a", "b").unionByName(bonds)))
     wanted = place.join(full, "id").select("component").distinct()
     sizes = place.join(wanted, "component").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     # The blocks of a component: dealt by a hash of the id, so that no order over all its members is needed.
     blocks = F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")
-    inside = durable(place.join(sizes, "component").join(vectors.select("id", "v"), "id").select("component", "id", "v", blocks.alias("k")).withColumn("block", F.expr("cast(pmod(xxhash64(id), k) as int)")))
-    left = inside.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v")
+    inside = durable(place.join(sizes, "component").join(vectors, "id").select("component", "id", "many", "v", blocks.alias("k")).withColumn("block", F.expr("cast(pmod(xxhash64(id), k) as int)")))
+    left = inside.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "many", "v")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
         one, two = rows[rows["block"] == i], rows[rows["block"] == j]
         if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64"})
-        a, b = one["id"].to_numpy(), two["id"].to_numpy()
-        sim = _matrix(one["v"]) @ _matrix(two["v"]).T
-        r, c = np.nonzero(sim >= link)
-        use = a[r] != b[c]
-        r, c = r[use], c[use]
-        out = pd.DataFrame({"a": a[r], "b": b[c], "sim": sim[r, c]})
-        return out if i == j else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})])
+            return pd.DataFrame({"id": np.empty(0, np.int64), "others": np.empty(0, np.int64)})
+        linked = (_matrix(one["v"]) @ _matrix(two["v"]).T >= link) & (one["id"].to_numpy()[:, None] != two["id"].to_numpy()[None, :])
+        there = pd.DataFrame({"id": one["id"].to_numpy(), "others": linked.astype(np.int64) @ two["many"].to_numpy()})
+        if i == j:
+            return there
+        return pd.concat([there, pd.DataFrame({"id": two["id"].to_numpy(), "others": linked.T.astype(np.int64) @ one["many"].to_numpy()})])
 
-    found = left.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long, sim double")
-    return found, inside.select("id")
+    counts = left.groupBy("component", "i", "j").applyInPandas(compare, "id long, others long")
+    return inside.select("id", "component"), counts.groupBy("id").agg(F.sum("others").alias("others"))
 
 
-def audit(links: DataFrame, vectors: DataFrame, link: float, count: int) -> float:
+def audit(links: DataFrame, vectors: DataFrame, link: float, count: int, inside: DataFrame | None = None) -> float:
     """The recall of AUDIT vectors (chosen by a hash), by brute force against all vectors.
 
     It is the mean over vectors of the share of their links that were found, so that a vector with one link counts as
     much as one in a large group; the least of this mean over all and over those with few, some and very many links.
+    inside: (id, component) of vectors whose component was compared whole; links within one are found.
     """
     share = min(1.0, AUDIT / max(1, count))
     drawn = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -295,7 +298,11 @@ def audit(links: DataFrame, vectors: DataFrame, link: float, count: int) -> floa
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     there = vectors.select("id", "v").mapInArrow(true, "a long, b long")
-    each = there.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    met = there.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    if inside is not None:
+        ends = [inside.select(F.col("id").alias(k), F.col("component").alias(f"in_{k}")) for k in ("a", "b")]
+        met = met.join(ends[0], "a", "left").join(ends[1], "b", "left").withColumn("hit", F.coalesce("hit", F.when(F.col("in_a") == F.col("in_b"), 1)))
+    each = met.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
     stratum = F.when(F.col("n") < 4, 0).when(F.col("n") < LIST, 1).when(F.col("n") < BLOCK, 2).otherwise(3)
     rows = each.groupBy(stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hits") / F.col("n")).alias("recall")).collect()
     if not rows:
@@ -303,8 +310,10 @@ def audit(links: DataFrame, vectors: DataFrame, link: float, count: int) -> floa
     return min([sum(r["recall"] for r in rows) / sum(r["n"] for r in rows)] + [r["recall"] / r["n"] for r in rows if r["n"] >= STRATUM])
 
 
-def find_links(vectors: DataFrame, link: float = LINK) -> tuple[DataFrame, float]:
-    """All found links (a, b, sim) in both directions, and the audited recall, which is RECALL at least."""
+def find_links(vectors: DataFrame, link: float = LINK) -> tuple[DataFrame, DataFrame, float]:
+    """(id, others): how many other rows each linked vector is linked with; (id, component); and the audited recall, which
+    is RECALL at least."""
+    none = vectors.sparkSession.range(0).select(F.col("id").alias("id"), F.col("id").alias("others"))
     counts = _by_size(vectors)
     count = sum(n for _, n in counts)
     lists, recall, links, bonds = None, 1.0, None, None
@@ -313,7 +322,7 @@ def find_links(vectors: DataFrame, link: float = LINK) -> tuple[DataFrame, float
             begun = start(vectors.where(F.octet_length("v") == 8 * d), d, n, 100 * attempt + 7, tables_for(n, link) * (attempt + 1), link).withColumn("fresh", F.lit(1))
             lists = begun if lists is None else lists.unionByName(begun)
         if lists is None:
-            return vectors.sparkSession.createDataFrame([], "a long, b long, sim double"), 1.0
+            return none, none.withColumnRenamed("others", "component"), 1.0
         lists, tied = lists_and_bonds(lists.select("a", "b", "sim", "fresh", "bond"))
         bonds = tied if bonds is None else bonds.unionByName(tied)
         known = None
@@ -324,14 +333,14 @@ def find_links(vectors: DataFrame, link: float = LINK) -> tuple[DataFrame, float
             known = state
             lists, tied = descend(lists, vectors, count, link=link)
             bonds = bonds.unionByName(tied)
-        more, inside = enlarge(lists, bonds, vectors, link)
+        inside, more = enlarge(lists, bonds, vectors, link)
         # A link is in the list of one end at least; whole components take the place of the lists of their members.
-        own = lists.where(F.col("sim") >= link).select("a", "b", "sim").join(inside.select(F.col("id").alias("a")), "a", "left_anti")
-        every = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).unionByName(more)
-        links = durable(every.groupBy("a", "b").agg(F.max("sim").alias("sim")))
-        recall = audit(links, vectors, link, count)
+        own = lists.where(F.col("sim") >= link).select("a", "b").join(inside.select(F.col("id").alias("a")), "a", "left_anti")
+        links = durable(own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        recall = audit(links, vectors, link, count, inside)
         if recall >= RECALL:
-            return links, recall
+            few = links.join(vectors.select(F.col("id").alias("b"), "many"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("many").alias("others"))
+            return few.unionByName(more), components(links).unionByName(inside), recall
         lists = lists.select("a", "b", "sim", F.lit(0).alias("fresh"), F.lit(0).alias("bond"))
     raise RecallError(f"an audited recall of {recall:.4f} after {TRIES} starts is below {RECALL}")
 
@@ -343,14 +352,12 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     kept rows are their component's smallest id. Null, zero and non-finite vectors and vectors with null or non-finite
     components, or with a null id, are linked with nothing and are their own component; vectors of different dimensions
     are not linked. Ids must be unique: rows that share one are taken for different vectors of one name. Other columns
-    are ignored, and an empty table gives an empty result.
+    are ignored, and an empty table gives an empty result. Links are found with an audited recall of RECALL at least, of
+    the vectors drawn; with less, a RecallError is raised.
     """
     member, vectors = distinct_vectors(embeddings, id_col, vector_col)
-    links, _ = find_links(vectors, link)
-    many = vectors.select("id", "many")
-    others = links.join(many.select(F.col("id").alias("b"), "many"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("many").alias("others"))
-    place = components(links.select("a", "b"))
-    classes = durable(many.join(others, "id", "left").join(place, "id", "left").select(F.col("id").alias("rep"), (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    others, place, _ = find_links(vectors, link)
+    classes = durable(vectors.select("id", "many").join(others, "id", "left").join(place, "id", "left").select(F.col("id").alias("rep"), (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     out = member.join(classes, "rep", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

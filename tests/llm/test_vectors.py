@@ -43,6 +43,9 @@ def test_audit_of_skewed_links(spark):
     links = lambda rows: spark.createDataFrame(rows, "a long, b long, sim double")
     assert embedding_dedup.audit(links(found), vectors, 0.9, 160) < 0.1
     assert embedding_dedup.audit(links(every), vectors, 0.9, 160) == 1
+    inside = spark.createDataFrame([(i, 0) for i in range(100)], "id long, component long")
+    assert embedding_dedup.audit(links(every[:0]), vectors, 0.9, 160, inside) < 0.1
+    assert embedding_dedup.audit(links([e for e in every if e[0] >= 100]), vectors, 0.9, 160, inside) == 1
 
 
 def test_recall_that_stays_short(spark, monkeypatch):
@@ -58,3 +61,24 @@ def test_tables_grow_with_the_cells():
     for count in (100, 10_000, 100_000, 1_000_000, 100_000_000):
         cell = side ** max(0, np.ceil(np.log2(count / embedding_dedup.CHUNK)))
         assert (1 - cell) ** embedding_dedup.tables_for(count) <= embedding_dedup.MISS
+
+
+def test_saturated_lists_and_components(spark):
+    """A group of 700 (two blocks), a chain, pairs and copies: links and components by brute force."""
+    rng = np.random.default_rng(8)
+    x = _clusters(rng, 32, _unit(rng.normal(size=(1, 32))), 700, 0.3)
+    turn = np.linspace(0, 3, 40)
+    a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+    x = np.concatenate([x, np.outer(np.cos(turn), a) + np.outer(np.sin(turn), b), _unit(rng.normal(size=(60, 32))), x[:30]])
+    linked = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    least = np.arange(len(x))
+    while True:
+        lower = np.minimum(least, np.where(linked, least[None, :], least[:, None]).min(1))
+        if (lower == least).all():
+            break
+        least = lower
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = {r["vec_id"]: r for r in embedding_dedup.near_vectors(df).collect()}
+    assert [rows[i]["n_links"] for i in range(len(x))] == linked.sum(1).tolist() and linked.sum(1).max() > 100
+    assert [rows[i]["component_id"] for i in range(len(x))] == least.tolist()
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows.values())
