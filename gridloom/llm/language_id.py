@@ -8,6 +8,7 @@ classifiers were right in training. Texts whose two best codewords are nearly as
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,7 +107,7 @@ def fit(x: np.ndarray, languages: list[str], steps: int = 300, penalty: float =
     code = codewords(len(names))
     target = code[y]
     weight = (1.0 / np.bincount(y, minlength=len(names)))[y][:, None] / len(names)
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
     m, v = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
     for t in range(1, steps + 1):
@@ -139,19 +140,34 @@ def train(docs: DataFrame, features: int = FEATURES) -> Model | None:
     share = F.when(F.col("n") <= 20 * each, 1.0).otherwise(2.0 * each / F.col("n"))
     near = free.select("lang", "text", draw.alias("draw")).join(F.broadcast(seen) if languages <= 100_000 else seen, "lang").where(F.col("draw") < share * float(1 << 40))
     first = Window.partitionBy("lang").orderBy("draw", "text")
-    sample = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("lang", "text")
+    sample = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("lang", "draw", "text")
 
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, rows=HELD_ROWS):
-                x = ngram_counts(part.column("text"), features)
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
+                x = ngram_counts(part.column("text"), features).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("draw"), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * features), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())], names=["lang", "draw", "x"])
 
-    rows = sample.mapInArrow(sparse, "lang string, x binary").collect()
-    if not rows:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, x = [], []
+        for batch in batches:
+            lang += batch.column("lang").to_pylist()
+            x += [np.frombuffer(v.as_buffer(), np.float16).copy() for v in batch.column("x")]
+        if lang:
+            whole = np.empty((len(x), features), np.float32)
+            for row in whole:
+                row[:] = x.pop(0)
+            m = fit(whole, lang)
+            parts = [json.dumps(m.languages).encode(), *(np.asarray(v, np.float64).tobytes() for v in (m.code, m.trust)), m.weights.tobytes(), m.bias.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(range(len(parts)))], names=["part", "at"])
+
+    # One task learns from the bounded sample, so that the driver gets the model only.
+    counted = sample.mapInArrow(dense, "lang string, draw long, x binary").repartition(1).sortWithinPartitions("lang", "draw", "x")
+    got = [bytes(r["part"]) for r in sorted(counted.select("lang", "x").mapInArrow(learn, "part binary, at long").collect(), key=lambda r: r["at"])]
+    if not got:
         return None
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    return fit(np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in rows]), [r["lang"] for r in rows])
+    names, code, trust, weights, bias = json.loads(got[0]), *(np.frombuffer(v) for v in got[1:3]), *(np.frombuffer(v, np.float32) for v in got[3:])
+    return Model(names, code.reshape(len(names), -1), weights.reshape(features, -1), bias, trust)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
