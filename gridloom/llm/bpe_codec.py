@@ -14,23 +14,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import durable
 from ._tokenize import Encoder, encoder
 from ._words import slices
 
-#: Distinct words of a block; hash pieces that words are dealt to, for each shuffle partition.
-WORDS, PIECES = 200_000, 4
+#: Distinct words of a block, and slices of texts in it at most; hash pieces that words are dealt to, for each shuffle
+#: partition.
+WORDS, SLICES, PIECES = 200_000, 64, 4
 #: The kind of rows that hold texts; others hold words or ids of one hash piece.
 TEXTS = -1
 
 
-def _packed(*arrays: np.ndarray | bytes) -> bytes:
-    """The arrays on end, compressed."""
-    data = b"".join(a if isinstance(a, bytes) else a.tobytes() for a in arrays)
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as their lowest bytes, then the next ones and so on: like with like, which compresses well."""
+    return np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(n)
+
+
+def _packed(*parts: bytes) -> bytes:
+    """The parts on end, compressed."""
+    data = b"".join(parts)
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
@@ -38,6 +46,17 @@ def _unpacked(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
 
 
+def _listed(places: np.ndarray, sizes: np.ndarray) -> bytes:
+    """How many entries a list has, their ascending places (as steps) and their sizes; what they hold follows."""
+    return len(places).to_bytes(4, "little") + _planes(np.diff(places.astype(np.int64), prepend=0)) + _planes(sizes)
+
+
+def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places, sizes, and where the rest begins."""
+    n = int.from_bytes(data[:4], "little")
+    return np.cumsum(_numbers(data, n, 4).astype(np.int64)), _numbers(data, n, 4 + 4 * n).astype(np.int64), 4 + 8 * n
+
+
 def _runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs of `flat` with the numbers `at`, on end."""
     n = size[at]
@@ -69,39 +88,46 @@ def split(docs: DataFrame, tokenizer: str, pieces: int) -> DataFrame:
 
     kind TEXTS: how many words each text has, and their places in the block's list. Other kinds are hash pieces: the
     places, lengths and bytes of the words of that piece. A word that is an added token has the byte 0xFF before it.
+
+    A block is named by a digest of its first document's id and its words; blocks of one name have the same words. Texts
+    and words are read in two runs over `docs`; if these cut other blocks, the names differ, and texts without their words
+    are an error and never wrong ids.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, table = encoder(tokenizer), {}
-        block = TaskContext.get().partitionId() << 33
+        code, table, texts, none = encoder(tokenizer), {}, [], None
 
-        def row(kind: int, ids: pa.Array, data: bytes) -> pa.RecordBatch:
+        def row(block: int, kind: int, ids: pa.Array, data: bytes) -> pa.RecordBatch:
             ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), ids, pa.array([data], pa.binary())], names=["block", "kind", "ids", "data"])
 
-        def words(none: pa.Array) -> Iterator[pa.RecordBatch]:
+        def closed() -> Iterator[pa.RecordBatch]:
+            words = [b"\xff" + w if isinstance(w, bytes) else w.encode() for w in table]
+            name = hashlib.blake2b(f"{texts[0][0][0].as_py()} ".encode() + b" ".join(words), digest_size=8)
+            block = int.from_bytes(name.digest(), "little", signed=True)
+            for ids, data in texts:
+                yield row(block, TEXTS, ids, data)
             dealt: dict[int, tuple[list, list]] = {}
-            for at, word in enumerate(table):
-                word = b"\xff" + word if isinstance(word, bytes) else word.encode()
+            for at, word in enumerate(words):
                 held = dealt.setdefault(zlib.crc32(word) % pieces, ([], []))
                 held[0].append(at)
                 held[1].append(word)
             for piece, (at, own) in dealt.items():
-                yield row(piece, none, _packed(np.array([len(at)], "<u4"), np.array(at, "<u4"), np.array([len(w) for w in own], "<u4"), b"".join(own)))
+                yield row(block, piece, none, _packed(_listed(np.array(at), np.array([len(w) for w in own])), b"".join(own)))
 
-        none = None
         for batch in batches:
             for part in slices(batch):
                 places = [np.fromiter((table.setdefault(w, len(table)) for w in code.words_of(t or "")), "<u4") for t in part.column("text").to_pylist()]
-                none = part.column("doc_id").slice(0, 0)
-                yield row(TEXTS, part.column("doc_id"), _packed(np.array([len(p) for p in places], "<u4"), *places))
-                if len(table) >= WORDS:
-                    yield from words(none)
+                ids = part.column("doc_id")
+                none = ids.slice(0, 0)
+                texts.append((ids, _packed(_planes(np.array([len(p) for p in places], "<u4")), _planes(np.concatenate([*places, np.zeros(0, "<u4")])))))
+                if len(table) >= WORDS or len(texts) >= SLICES:
+                    yield from closed()
                     table.clear()
-                    block += 1
-        if table:
-            yield from words(none)
+                    texts.clear()
+        if texts:
+            yield from closed()
 
     return docs.mapInArrow(run, f"block long, kind int, ids array<{kind}>, data binary")
 
@@ -118,8 +144,8 @@ def word_ids(words: DataFrame, tokenizer: str, pieces: int) -> DataFrame:
                 if kind != at:
                     table, at = {}, kind
                 data = _unpacked(data)
-                n = int.from_bytes(data[:4], "little")
-                begin, ids, size = 4 + 8 * n, [], np.frombuffer(data, "<u4", n, 4 + 4 * n)
+                places, size, begin = _entries(data)
+                ids = []
                 for k in size.tolist():
                     word = data[begin : begin + k]
                     begin += k
@@ -127,7 +153,7 @@ def word_ids(words: DataFrame, tokenizer: str, pieces: int) -> DataFrame:
                     if own is None:
                         own = table[word] = code.ids_of(word[1:] if word[:1] == b"\xff" else word.decode())
                     ids.append(own)
-                out.append(_packed(data[: 4 + 4 * n], np.array([len(x) for x in ids], "<u4"), np.array([i for x in ids for i in x], "<u4")))
+                out.append(_packed(_listed(places, np.array([len(x) for x in ids])), _planes(np.array([i for x in ids for i in x], "<u4"))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("kind"), pa.array(out, pa.binary())], names=["block", "kind", "data"])
 
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -139,7 +165,7 @@ def _coded(docs: DataFrame, tokenizer: str, names: list[str], kinds: str, column
     """doc_id and what `columns` makes of the ids of each text."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = durable(split(docs, tokenizer, PIECES * n))
+    blocks = split(docs, tokenizer, PIECES * n)
     words = word_ids(blocks.where(F.col("kind") != TEXTS), tokenizer, PIECES * n)
     texts = blocks.where(F.col("kind") == TEXTS)
     rows = words.select("block", "kind", F.lit(None).cast(blocks.schema["ids"].dataType).alias("ids"), "data").unionByName(texts)
@@ -161,8 +187,10 @@ def _coded(docs: DataFrame, tokenizer: str, names: list[str], kinds: str, column
                     table = _word_list(held)
                     held = []
                 ids = docs[i].values
-                size = np.frombuffer(data, "<u4", len(ids)).astype(np.int64)
-                places = np.frombuffer(data, "<u4", offset=4 * len(ids))
+                size = _numbers(data, len(ids), 0).astype(np.int64)
+                places = _numbers(data, int(size.sum()), 4 * len(ids))
+                if len(places) and int(places.max()) >= len(table[1]):
+                    raise RuntimeError("two runs over the texts differ: pass a table whose rows come in one order")
                 ends = np.cumsum(size)
                 # About a million words at a time.
                 cuts = [0, *(np.flatnonzero(np.diff(ends >> 20)) + 1).tolist(), len(ids)]
@@ -180,13 +208,13 @@ def _word_list(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids of a block's words on end, and where each word's begin and how many they are."""
     places, sizes, ids = [], [], []
     for data in held:
-        n = int.from_bytes(data[:4], "little")
-        places.append(np.frombuffer(data, "<u4", n, 4))
-        sizes.append(np.frombuffer(data, "<u4", n, 4 + 4 * n))
-        ids.append(np.frombuffer(data, "<u4", offset=4 + 8 * n))
+        place, size, at = _entries(data)
+        places.append(place)
+        sizes.append(size)
+        ids.append(_numbers(data, int(size.sum()), at))
     if not held:
         return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place, one = np.concatenate(places), np.concatenate(sizes).astype(np.int64)
+    place, one = np.concatenate(places), np.concatenate(sizes)
     begin, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     begin[place], size[place] = np.cumsum(one) - one, one
     return np.concatenate(ids), begin, size
@@ -200,7 +228,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """doc_id, ids (array of int) of each whole text, as the tokenizers library encodes it without special tokens.
 
     For byte-level tokenizers without word ends. Null text counts as empty and has no ids. Repeated rows and null ids
-    are coded like all others; other columns are ignored, and an empty table gives an empty result.
+    are coded like all others; other columns are ignored, and an empty table gives an empty result. The table is read
+    twice and its rows must come in one order each time, as from files or a durable frame; else an error is raised.
     """
     made = lambda pieces, ids: [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
     return _coded(_source(docs, id_col, text_col), tokenizer, ["ids"], "ids array<int>", made)

@@ -46,9 +46,8 @@ def test_each_distinct_word_is_encoded_once(spark, library):
     seen: dict[bytes, set[int]] = {}
     for r in rows:
         data = bpe_codec._unpacked(bytes(r["data"]))
-        n = int.from_bytes(data[:4], "little")
-        at = 4 + 8 * n
-        for size in np.frombuffer(data, "<u4", n, 4 + 4 * n).tolist():
+        _, sizes, at = bpe_codec._entries(data)
+        for size in sizes.tolist():
             seen.setdefault(data[at : at + size], set()).add(r["kind"])
             at += size
     assert len({r["block"] for r in rows}) == 8 and all(len(v) == 1 for v in seen.values()) and b" gamma" in seen
