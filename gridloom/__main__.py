@@ -260,22 +260,33 @@ def validate_raw(space, a):
     return validate.validate_raw(space.read(a.table), a.true_field, a.model_field)
 
 
-@task("validate", *_COMPARE, arg("-m", "--model-field", default="value"))
+@task("validate", *_COMPARE, arg("-m", "--model-field", default="value"), arg("--report"))
 def validate_model(space, a):
     """Metrics for a table of cells against true values."""
+    if a.report:
+        both = validate.aligned(space.read("grid").select("geohash"), space.read(a.true_table), space.read(a.model_table), a.true_field, [a.model_field])
+        validate.report(both, a.report, "_true", a.model_field)
     return validate.validate_model(space.read("grid"), space.read(a.true_table), space.read(a.model_table), a.true_field, a.model_field)
 
 
-@task("validate-array", *_COMPARE)
+@task("validate-array", *_COMPARE, arg("--report", help="folder for a page of each model"))
 def validate_array(space, a):
     """Metrics for every model column."""
+    if a.report:
+        named = [c for c in space.columns(a.model_table) if c not in consolidate.PLACE and c != consolidate.KEY]
+        both = validate.aligned(space.read("grid").select("geohash"), space.read(a.true_table), space.read(a.model_table), a.true_field, named)
+        for name in named:
+            validate.report(both, f"{a.report}/{name}.html", "_true", name)
     return validate.validate_array(space.read("grid"), space.read(a.true_table), space.read(a.model_table), a.true_field)
 
 
-@task("validate-multiscale", *_COMPARE, arg("-m", "--model-field", default="value"), arg("-u", "--multiple", nargs="+", type=int, default=list(validate.MULTIPLES)))
+@task("validate-multiscale", *_COMPARE, arg("-m", "--model-field", default="value"), arg("-u", "--multiple", nargs="+", type=int, default=list(validate.MULTIPLES)), arg("--csv", help="folder for the levels as one CSV file"))
 def validate_multiscale(space, a):
     """Metrics on coarser grids."""
-    return validate.validate_multiscale(space.read("grid"), space.read(a.true_table), space.read(a.model_table), a.true_field, a.model_field, tuple(a.multiple))
+    levels = validate.validate_multiscale(space.read("grid"), space.read(a.true_table), space.read(a.model_table), a.true_field, a.model_field, tuple(a.multiple))
+    if a.csv:
+        validate.write_levels(levels, a.csv)
+    return levels
 
 
 @task("import-layer", arg("path"), arg("table"), arg("-s", "--source-srid", type=int, default=4326), arg("-t", "--target-srid", type=int, default=4326), flag("-e", "--clip-extent"), arg("-g", "--geometry-type"))
@@ -307,6 +318,7 @@ def delimited(space, a):
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser("gridloom", description=__doc__)
     out.add_argument("schema", help="the study area's database")
+    out.add_argument("--log-folder", help="where a rotating log file of each task goes")
     below = out.add_subparsers(dest="task", required=True)
     for name, (f, arguments) in TASKS.items():
         one = below.add_parser(name, help=f.__doc__, description=f.__doc__)
@@ -319,7 +331,18 @@ def parser() -> argparse.ArgumentParser:
 def run(spark, words: list[str]):
     """Carry out one command in a session; returns what it has to show, a frame or a list, or nothing."""
     a = parser().parse_args(words)
-    return TASKS[a.task][0](Workspace(spark, a.schema), a)
+    space = Workspace(spark, a.schema)
+    if not a.log_folder:
+        return TASKS[a.task][0](space, a)
+    log = space.log_to(a.log_folder, a.task)
+    log.info("begin: %s", " ".join(words))
+    try:
+        out = TASKS[a.task][0](space, a)
+    except Exception:
+        log.exception("failed")
+        raise
+    log.info("done")
+    return out
 
 
 def main(words: list[str] | None = None) -> int:

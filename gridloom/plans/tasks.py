@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -20,23 +21,32 @@ def load_tasks(path: str) -> list[dict]:
         return json.load(f)["tasks"]
 
 
-def feature_tables(grid: DataFrame, layers: dict[str, DataFrame], tasks: list[dict]) -> dict[str, DataFrame]:
-    """A feature table for each task and category; tasks on one layer get numbered names."""
+def _numbered(stem: str, taken: tuple[str, ...]) -> str:
+    name, n = stem, 0
+    while name in taken:
+        n += 1
+        name = f"{stem}_{n}"
+    return name
+
+
+def feature_tables(grid: DataFrame, layers: dict[str, DataFrame], tasks: list[dict], free: Callable[[str, tuple[str, ...]], str] = _numbered) -> dict[str, DataFrame]:
+    """A feature table for each task and category; tasks on one layer get numbered names.
+
+    free: a name made from a stem that is not among those given.
+    """
     out: dict[str, DataFrame] = {}
     for task in tasks:
         for case in _many(task.get("case")) or [None]:
-            stem = FEATURE + task["table"]
-            name, n = stem, 0
-            while name in out:
-                n += 1
-                name = f"{stem}_{n}"
+            name = free(FEATURE + task["table"], tuple(out))
             out[name] = calculate(grid, layers[task["table"]], _many(task["method"]), _many(task.get("source")), case)
     return out
 
 
 def run_tasks(space: Workspace, tasks: list[dict], overwrite: bool = False) -> list[str]:
-    """Compute and store the feature tables of the tasks."""
-    made = feature_tables(space.read("grid"), {t["table"]: space.read(t["table"]) for t in tasks}, tasks)
+    """Compute and store the feature tables of the tasks; tables that are there stay, and new ones get the next number,
+    unless they are to be overwritten."""
+    layers = {t["table"]: space.read(t["table"]) for t in tasks}
+    made = feature_tables(space.read("grid"), layers, tasks, _numbered if overwrite else space.unique_name)
     return [space.write(df, name, overwrite, "geohash") for name, df in made.items()]
 
 

@@ -30,6 +30,8 @@ def test_study_area(spark, tmp_path):
         do("grid", "-s", 100)
     do("grid", "-s", 100, "-o")
     assert do("features", "building", "cov") == ["feat_building"]
+    assert do("features", "building", "dens") == ["feat_building_1"]
+    assert do("features", "building", "cov", "-o") == ["feat_building"]
     do("neighbourhood", 1)
     assert {r["kind"] for r in do("list").collect()} == {"feature", "neighbourhood"}
     do("consolidate")
@@ -38,9 +40,19 @@ def test_study_area(spark, tmp_path):
     do("apply", tmp_path / "model", "weight")
     do("disaggregate", "district", "people", "weight", "people")
     assert spark.table("area.people").groupBy().sum("value").first()[0] == pytest.approx(40)
-    assert do("validate", "tgt_district", "people").count() == 1
+    logs = tmp_path / "logs"
+    assert do("--log-folder", logs, "validate", "tgt_district", "people", "--report", tmp_path / "one.html").count() == 1
+    assert "done" in (logs / "area_validate.log").read_text()
+    assert "<svg" in (tmp_path / "one.html").read_text()
+    with pytest.raises(Exception, match="no_such_table"):
+        do("--log-folder", logs, "validate", "tgt_district", "no_such_table")
+    assert "failed" in (logs / "area_validate.log").read_text()
+    models = [r["model"] for r in do("validate-array", "tgt_district", "people", "--report", tmp_path / "pages").collect()]
+    assert models and {p.stem for p in (tmp_path / "pages").iterdir()} == set(models)
+    assert do("validate-multiscale", "tgt_district", "people", "-u", 2, "--csv", tmp_path / "levels").count() == 1
+    assert next((tmp_path / "levels").glob("*.csv")).read_text().splitlines()[0].split(";")[0] == "multiple"
     assert do("introspect", tmp_path / "model").count() >= 1
-    assert sorted(do("clear")) == ["feat_building", "feat_neigh_building_cov"]
+    assert sorted(do("clear")) == ["feat_building", "feat_building_1", "feat_neigh_building_1_dens", "feat_neigh_building_cov"]
 
 
 def test_wrong_requests():
