@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, after which a worker gives memory that it has freed back to the system.
+
+    Spark uses its Python workers again for later tasks and stages; what the allocators keep would stand beside the
+    executor's heap for as long.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim:
+                    trim(0)
+
+    return wrapped
+
+
 def parts(spark: SparkSession, rows: int, per_part: int, least: int | None = None) -> int:
     """A number of partitions that grows with the rows."""
     return max(int(least or spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))

@@ -2,7 +2,7 @@
 
 The files are read by the tokenizers library. Where a file's vocabulary numbers its merges in order, a word's merges are
 carried out by tiktoken's engine, which gives the same ids several times faster; texts and words outside the plain case
-(added tokens, unusual characters) go to the library itself. A cache of a bounded size is kept per worker process.
+(added tokens, unusual characters) go to the library itself. A cache of a bounded size is kept during a task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterable
 
 import regex
 
-#: Words kept by a worker: two generations of this size.
+#: Words kept during a task: two generations of this size.
 CACHE = 250_000
 
 _loaded: dict[str, Encoder] = {}
@@ -103,6 +103,10 @@ class Encoder:
                 self.new[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop the words kept so far; workers live on after a task."""
+        self.new, self.old = {}, {}
+
     def whole(self, text: str) -> bytes:
         """Ids of a text by the library alone."""
         return b"".join([i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids])

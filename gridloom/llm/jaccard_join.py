@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._runtime import durable, parts
+from ._runtime import durable, parts, tidy
 from ._words import WIDTH, mix, shingle_sets, slices
 
 #: Min-hashes of a set; the first KEYS of them look for a leader.
@@ -86,7 +86,7 @@ def describe_sets(docs: DataFrame, width: int) -> DataFrame:
                     names=["id", "n", "k1", "k2", "hashes"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, hashes array<int>")
+    return docs.mapInArrow(tidy(run), "id long, n long, k1 long, k2 long, hashes array<int>")
 
 
 def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray
         if ps:
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(bits, pa.binary()), pa.array(hot, pa.binary())], names=["p", "bits", "hot"])
 
-    counted = durable(docs.mapInArrow(deal, "p long, blob binary").repartition(parts(spark, pieces, 4), "p").mapInArrow(count, "p long, bits binary, hot binary"))
+    counted = durable(docs.mapInArrow(tidy(deal), "p long, blob binary").repartition(parts(spark, pieces, 4), "p").mapInArrow(tidy(count), "p long, bits binary, hot binary"))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(32, np.int64)
@@ -153,7 +153,7 @@ def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(32)), pa.array(total)], names=["bin", "n"])
 
     least, many = FREQUENT_LEAST, 0
-    for row in sorted(counted.select("hot").mapInArrow(bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r["bin"]):
+    for row in sorted(counted.select("hot").mapInArrow(tidy(bins), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r["bin"]):
         many += row["n"]
         if many > FREQUENT:
             least = max(least, 2 << row["bin"])
@@ -169,7 +169,7 @@ def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray
                 out.append(np.frombuffer(blob, "<u4", n)[use].tobytes() + np.log2(times[use]).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("bits"), pa.array(out, pa.binary())], names=["p", "bits", "hot"])
 
-    rows = sorted(counted.mapInArrow(chosen, "p long, bits binary, hot binary").collect(), key=lambda r: r["p"])
+    rows = sorted(counted.mapInArrow(tidy(chosen), "p long, bits binary, hot binary").collect(), key=lambda r: r["p"])
     seen = np.zeros((1 << SEEN_BITS) // 8, np.uint8)
     step = len(seen) // pieces
     for r in rows:
@@ -214,7 +214,7 @@ def _shingles(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], names=["id", "shingles"])
 
     # Repeated rows of one id have equal sets: one is enough.
-    return _of(docs, ids).mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    return _of(docs, ids).mapInArrow(tidy(sets), "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
 class _Answers:
@@ -283,7 +283,7 @@ def answers(docs: DataFrame, pairs: DataFrame, width: int, percent: int, follow:
     # Nulls come first: a hub before its bases, a base before its pairs.
     n = parts(spark, salted.count(), 1 << 16)
     dealt = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "base", "a", "b")
-    return dealt.mapInArrow(compare, "a long, b long, linked boolean, change binary")
+    return dealt.mapInArrow(tidy(compare), "a long, b long, linked boolean, change binary")
 
 
 def leader_pairs(reps: DataFrame) -> DataFrame:
@@ -456,9 +456,9 @@ def candidates(docs: DataFrame, reps: DataFrame, width: int, percent: int, total
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     # Repeated rows of one id are one set.
-    prefixed = docs.mapInArrow(prefixes, "id long, prefix binary").where(F.octet_length("prefix") > 0).groupBy("id").agg(F.first("prefix").alias("prefix"))
+    prefixed = docs.mapInArrow(tidy(prefixes), "id long, prefix binary").where(F.octet_length("prefix") > 0).groupBy("id").agg(F.first("prefix").alias("prefix"))
     joined = reps.select("id", "n", "component", "leader", "change").join(prefixed, "id", "left").where("prefix IS NOT NULL OR change IS NOT NULL")
-    return joined.mapInArrow(deal, "p long, blob binary").repartition(parts(spark, entries, 1 << 19), "p").mapInArrow(lists, "a long, b long").distinct()
+    return joined.mapInArrow(tidy(deal), "p long, blob binary").repartition(parts(spark, entries, 1 << 19), "p").mapInArrow(tidy(lists), "a long, b long").distinct()
 
 
 def _parted(entries: np.ndarray, hot: np.ndarray, log: np.ndarray, listed: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._runtime import durable, fold
+from ._runtime import durable, fold, tidy
 from ._words import slices, utf8
 
 FEATURES = 4096
@@ -117,7 +117,7 @@ def fit(x: np.ndarray, languages: list[str], steps: int = 300, penalty: float =
             m[k] = 0.9 * m[k] + 0.1 * d
             v[k] = 0.999 * v[k] + 0.001 * d * d
             p -= 0.3 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-9)
-    right = (((x @ w + b) * target > 0) * weight).sum(0)
+    right = (((x @ w.astype(np.float32) + b) * target > 0) * weight).sum(0)
     return Model(names, code, w.astype(np.float32), b.astype(np.float32), np.maximum(right - 0.5, 0.01))
 
 
@@ -162,8 +162,8 @@ def train(docs: DataFrame, features: int = FEATURES) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(range(len(parts)))], names=["part", "at"])
 
     # One task learns from the bounded sample, so that the driver gets the model only.
-    counted = sample.mapInArrow(dense, "lang string, draw long, x binary").repartition(1).sortWithinPartitions("lang", "draw", "x")
-    got = [bytes(r["part"]) for r in sorted(counted.select("lang", "x").mapInArrow(learn, "part binary, at long").collect(), key=lambda r: r["at"])]
+    counted = sample.mapInArrow(tidy(dense), "lang string, draw long, x binary").repartition(1).sortWithinPartitions("lang", "draw", "x")
+    got = [bytes(r["part"]) for r in sorted(counted.select("lang", "x").mapInArrow(tidy(learn), "part binary, at long").collect(), key=lambda r: r["at"])]
     if not got:
         return None
     names, code, trust, weights, bias = json.loads(got[0]), *(np.frombuffer(v) for v in got[1:3]), *(np.frombuffer(v, np.float32) for v in got[3:])
@@ -195,4 +195,4 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(score.astype(np.float64)), pa.array(close)], names=["row", "lang_pred", "score", "ambiguous"])
 
     schema = carried.select("row").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("ambiguous", F.lit(False)).schema
-    return carried.mapInArrow(label, schema)
+    return carried.mapInArrow(tidy(label), schema)

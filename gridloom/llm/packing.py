@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import durable, fresh, global_rank
+from ._runtime import durable, fresh, global_rank, tidy
 from ._tokenize import encoder
 from ._words import slices
 
@@ -95,23 +95,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
-        for batch in batches:
-            for part in slices(batch):
-                out: list[list] = [[], [], [], [], [], []]
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    data = code.encode(text or "") + end
-                    for at in range(0, len(data), size):
-                        piece = data[at : at + size]
-                        for column, value in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, piece), strict=True):
-                            column.append(value)
-                kinds = [part.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-                use = 6 if ids else 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:use], kinds, strict=False)], names=names[:use])
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    out: list[list] = [[], [], [], [], [], []]
+                    for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                        data = code.encode(text or "") + end
+                        for at in range(0, len(data), size):
+                            piece = data[at : at + size]
+                            for column, value in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, piece), strict=True):
+                                column.append(value)
+                    kinds = [part.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+                    use = 6 if ids else 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:use], kinds, strict=False)], names=names[:use])
+        finally:
+            code.forget()
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * ids)
+    return source.mapInArrow(tidy(cut), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * ids)
 
 
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -152,7 +155,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(sequence, np.int64)), pa.array(np.array(offset, np.int64))], names=[*names, "sequence_id", "offset"])
 
     schema = pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
