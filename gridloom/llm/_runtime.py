@@ -93,6 +93,23 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank", partitions:
     return placed.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << bits) - 1))).drop(part, at, before)
 
 
+def sieved(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """`df` with a column `sieved`: false only for rows whose `column` is not in `ids` (column id); some others are true.
+
+    A bit for each id's hash is sent to all executors, in a map of 16 bits an id (32 MB at most), so that rows are chosen
+    by their ids without being dealt by them. Ids are integers.
+    """
+    width, wide = 1 << 15, 16
+    maps = 1 << min(13, max(0, (wide * ids.count() // width).bit_length()))
+    place = lambda name: F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(maps * width))
+    at, bit, own, bits = fresh(df, "_at", "_bit", "_own", "_bits")
+    made = ids.select(place("id").alias(at)).groupBy(F.expr(f"{at} div {width}").alias(own)).agg(F.expr(f"bitmap_construct_agg({at} % {width})").alias(bits))
+    placed = df.withColumn(bit, place(column)).withColumn(at, F.expr(f"{bit} div {width}")).withColumn(bit, F.expr(f"cast({bit} % {width} as int)"))
+    byte = F.conv(F.hex(F.substring(bits, F.expr(f"{bit} div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, {bit} % 8)")) > 0, F.lit(False))
+    return placed.join(F.broadcast(made), F.col(at) == F.col(own), "left").withColumn("sieved", hit).drop(at, bit, own, bits)
+
+
 def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -24,15 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._runtime import durable, parts, tidy
+from ._runtime import durable, parts, sieved, tidy
 from ._words import WIDTH, mix, shingle_sets, slices
 
 #: Min-hashes of a set; the first KEYS of them look for a leader.
 HASHES, KEYS, ALIKE = 16, 6, 9
-#: Sizes of what is sent to all executors: a bit for every 2**(32-SEEN_BITS) short hashes, and the frequent shingles.
-SEEN_BITS, FREQUENT, FREQUENT_LEAST = 26, 1 << 19, 64
-#: Ids up to this number are sent to the executors to choose texts by, beyond it the texts are joined.
-SENT_IDS = 500_000
+#: Sizes of what is sent to all executors: 2**SEEN_BITS bits (least and most) for the hashes of shingles in two sets or
+#: more, and the frequent shingles.
+SEEN_BITS, FREQUENT, FREQUENT_LEAST = (26, 28), 1 << 19, 64
 #: Shingles that are counted at a time; pairs that share a load of one set; entries of a list that are paired in one task.
 COUNTED, SHARE, LISTED = 1 << 20, 256, 1 << 18
 #: Lists of fewer entries are paired many at a time.
@@ -95,16 +94,21 @@ def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray
     Every shingle is counted: where an edited copy's own shingles all come first, its prefix holds so few of those that
     its group shares that most pairs of the group are never formed.
 
+    They are told by their place in pieces (the first bits) and their short hash in there, so that with more shingles
+    there are more bits to tell them by.
+
     Returns the sorted short hashes of the frequent ones (FREQUENT at most: the limit is raised until they fit), the
     logarithm (to 2) of their counts, and a bit map of those in two sets or more.
     """
     spark = docs.sparkSession
     pieces = min(1 << 15, 1 << int(np.ceil(np.log2(4 * parts(spark, total, 1 << 21)))))
-    shift = 32 - int(np.log2(pieces))
+    shift = 64 - int(np.log2(pieces))
+    seen_bits = min(max(int(np.ceil(np.log2(max(total, 1)))), SEEN_BITS[0]), SEEN_BITS[1])
 
     def cut(held: list[np.ndarray]) -> pa.RecordBatch:
-        short, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint32)]), return_counts=True)
-        cuts = np.searchsorted(short >> np.uint32(shift), np.arange(pieces + 1))
+        tokens, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        short = _short(tokens)
+        cuts = np.searchsorted(tokens >> np.uint64(shift), np.arange(pieces + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(cuts))
         blobs = [short[cuts[p] : cuts[p + 1]].astype("<u4").tobytes() + np.minimum(counts[cuts[p] : cuts[p + 1]], 65535).astype("<u2").tobytes() for p in full]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], names=["p", "blob"])
@@ -113,7 +117,7 @@ def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray
         held, many = [], 0
         for batch in batches:
             for part in slices(batch):
-                held += [_short(x) for x in shingle_sets(part.column("text"), width)]
+                held += shingle_sets(part.column("text"), width)
                 many = sum(map(len, held))
                 if many >= COUNTED:
                     yield cut(held)
@@ -134,8 +138,8 @@ def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray
             first = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1])))
             sums = np.add.reduceat(times, first)
             short = short[first]
-            seen = np.zeros(max(8, (1 << SEEN_BITS) // pieces), np.uint8)
-            seen[(short[sums > 1] >> np.uint32(32 - SEEN_BITS)) & np.uint32(len(seen) - 1)] = 1
+            seen = np.zeros((1 << seen_bits) // pieces, np.uint8)
+            seen[short[sums > 1] & np.uint32(len(seen) - 1)] = 1
             frequent = sums >= FREQUENT_LEAST
             ps.append(p)
             bits.append(np.packbits(seen).tobytes())
@@ -170,7 +174,7 @@ def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("bits"), pa.array(out, pa.binary())], names=["p", "bits", "hot"])
 
     rows = sorted(counted.mapInArrow(tidy(chosen), "p long, bits binary, hot binary").collect(), key=lambda r: r["p"])
-    seen = np.zeros((1 << SEEN_BITS) // 8, np.uint8)
+    seen = np.zeros((1 << seen_bits) // 8, np.uint8)
     step = len(seen) // pieces
     for r in rows:
         seen[r["p"] * step : (r["p"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)[:step]
@@ -178,14 +182,16 @@ def _count_frequent(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray
     hot = np.concatenate([np.frombuffer(r["hot"], "<u4", n) for r, n in zip(rows, size, strict=True)] or [np.zeros(0, "<u4")])
     log = np.concatenate([np.frombuffer(r["hot"], np.uint8, n, 4 * n) for r, n in zip(rows, size, strict=True)] or [np.zeros(0, np.uint8)])
     order = np.argsort(hot, kind="stable")
-    return hot[order], log[order], seen
+    return hot[order], log[order], seen.reshape(pieces, step)
 
 
 def _ranks(tokens: np.ndarray, hot: np.ndarray, log: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Where a shingle stands in the global order: 0 in one set only, 1 rare, from 2 on by frequency."""
     short = _short(tokens)
-    at = short >> np.uint32(32 - SEEN_BITS)
-    out = (seen[at >> 3] >> (np.uint8(7) - (at & np.uint32(7)).astype(np.uint8))) & np.uint8(1)
+    pieces, step = seen.shape
+    piece = (tokens >> np.uint64(64 - int(np.log2(pieces)))).astype(np.int64) if pieces > 1 else np.zeros(len(tokens), np.int64)
+    at = short & np.uint32(8 * step - 1)
+    out = (seen[piece, at >> 3] >> (np.uint8(7) - (at & np.uint32(7)).astype(np.uint8))) & np.uint8(1)
     if len(hot) and len(short):
         at = np.minimum(np.searchsorted(hot, short), len(hot) - 1)
         out = np.where(hot[at] == short, log[at] + np.uint8(2), out)
@@ -200,13 +206,12 @@ def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` with an id in `ids` (column id): ids are sent along while few, joined beyond that."""
-    n = ids.count()
-    return docs.join(F.broadcast(ids) if n <= SENT_IDS else ids, "id", "left_semi")
+    """Rows of `docs` with an id in `ids` (column id), and few others: texts are never dealt by their ids."""
+    return sieved(docs, "id", ids).where("sieved").drop("sieved")
 
 
 def _shingles(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, shingles (sorted 64-bit hashes) of the documents with an id in `ids`."""
+    """id, shingles (sorted 64-bit hashes) of the documents with an id in `ids`, and of few others."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +250,8 @@ class _Answers:
 
 
 def answers(docs: DataFrame, pairs: DataFrame, width: int, percent: int, follow: bool = False) -> DataFrame:
-    """Whether each of `pairs` is linked: a, b, linked; with `follow` also the shingles in which a's base and hub differ.
+    """Whether each of `pairs` is linked: a, b, linked; with `follow` also the shingles in which a's base and hub differ
+    (change), and a bit for each that is the hub's (lost).
 
     pairs: a, base, da, b, hub, db: set a is the set of document `base` with the shingles `da` changed (null: none), set
     b the same with `hub` and `db`. A hub is loaded once for SHARE pairs or so, and each base that it meets once there.
@@ -253,37 +259,38 @@ def answers(docs: DataFrame, pairs: DataFrame, width: int, percent: int, follow:
     spark = docs.sparkSession
     many = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("many"))
     salted = durable(pairs.join(many, "hub").withColumn("salt", F.expr(f"cast(pmod(xxhash64(a, b), (many + {SHARE - 1}) div {SHARE}) as int)")).drop("many"))
-    needed = durable(salted.select(F.col("hub").alias("id")).unionByName(salted.select(F.col("base").alias("id"))).distinct())
-    full = durable(_shingles(docs, needed, width))
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    rest = [none("da", "binary"), none("db", "binary")]
-    hubs = salted.select("hub", "salt").distinct().join(full.withColumnRenamed("id", "hub"), "hub").select("hub", "salt", none("base", "long"), none("a", "long"), none("b", "long"), "shingles", *rest)
-    bases = salted.select("hub", "salt", "base").distinct().join(full.withColumnRenamed("id", "base"), "base").select("hub", "salt", "base", none("a", "long"), none("b", "long"), "shingles", *rest)
-    rows = hubs.unionByName(bases).unionByName(salted.select("hub", "salt", "base", "a", "b", none("shingles", "binary"), "da", "db"))
+    loads = salted.select(F.col("hub").alias("id"), "hub", "salt", none("base", "long")).unionByName(salted.select(F.col("base").alias("id"), "hub", "salt", "base"))
+    loads = durable(loads.distinct())
+    # Sets are dealt by id once, and from there to their hubs.
+    held = loads.join(_shingles(docs, loads.select("id").distinct(), width), "id").select("hub", "salt", "base", none("a", "long"), none("b", "long"), "shingles", none("da", "binary"), none("db", "binary"))
+    rows = held.unionByName(salted.select("hub", "salt", "base", "a", "b", none("shingles", "binary"), "da", "db"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, change = _Answers(percent), b""
+        state, change, lost = _Answers(percent), b"", b""
         words = lambda x: np.frombuffer(x.as_buffer(), np.uint64) if x.is_valid else np.zeros(0, np.uint64)
         for batch in batches:
-            a, b, linked, changes = [], [], [], []
+            a, b, linked, changes, gone = [], [], [], [], []
             for base, x, y, s, da, db in zip(*(batch.column(c) for c in ("base", "a", "b", "shingles", "da", "db")), strict=True):
                 if not base.is_valid:
                     state.hub = words(s).copy()
                 elif not x.is_valid:
                     state.meet(words(s).copy())
-                    change = np.setxor1d(state.base, state.hub, assume_unique=True).tobytes()
+                    apart = np.setxor1d(state.base, state.hub, assume_unique=True)
+                    change, lost = apart.tobytes(), np.packbits(_in(apart, state.hub)).tobytes()
                 else:
                     a.append(x.as_py())
                     b.append(y.as_py())
                     linked.append(state.linked(words(da), words(db)))
                     changes.append(change if follow else None)
-            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(changes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "change"])
+                    gone.append(lost if follow else None)
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(changes, pa.binary()), pa.array(gone, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "change", "lost"])
 
     # Nulls come first: a hub before its bases, a base before its pairs.
     n = parts(spark, salted.count(), 1 << 16)
     dealt = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "base", "a", "b")
-    return dealt.mapInArrow(tidy(compare), "a long, b long, linked boolean, change binary")
+    return dealt.mapInArrow(tidy(compare), "a long, b long, linked boolean, change binary, lost binary")
 
 
 def leader_pairs(reps: DataFrame) -> DataFrame:
@@ -371,9 +378,11 @@ def _list_pairs(run: np.ndarray, percent: int, found: list[np.ndarray]) -> None:
 def candidates(docs: DataFrame, reps: DataFrame, width: int, percent: int, total: int) -> DataFrame:
     """Distinct pairs (a, b) of sets of different components that may be linked.
 
-    reps: id, n, component, leader and change (what differs from the leader; both null where there is none).
+    reps: id, n, component, leader, change and lost (what differs from the leader, and a bit for each that is the
+    leader's; null where there is none). Of equal sets only one is counted and listed, but for what the sieve lets pass.
     """
     spark = docs.sparkSession
+    docs = _of(docs, reps.select("id"))
     sent = spark.sparkContext.broadcast(_count_frequent(docs, width, total))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +402,7 @@ def candidates(docs: DataFrame, reps: DataFrame, width: int, percent: int, total
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for i, n, comp, leader, change, blob in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "component", "leader", "change", "prefix")), strict=True):
+            for i, n, comp, leader, change, lost, blob in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "component", "leader", "change", "lost", "prefix")), strict=True):
                 k = len(blob or b"") // 12
                 e = np.empty(k, ENTRY)
                 e["token"], e["pos"] = np.frombuffer(blob or b"", "<u8", k), np.frombuffer(blob or b"", "<i4", k, 8 * k)
@@ -404,7 +413,9 @@ def candidates(docs: DataFrame, reps: DataFrame, width: int, percent: int, total
                     change = np.frombuffer(change, np.uint64)
                     rank = _ranks(change, *sent.value)
                     order = np.argsort(rank, kind="stable")
-                    at = np.flatnonzero(rank[order])
+                    # What only the leader has is lost by each follower that lacks it: that is shared by their differences.
+                    theirs = np.unpackbits(np.frombuffer(lost, np.uint8), count=len(change))
+                    at = np.flatnonzero((rank | theirs)[order])
                     at = at[2 * at * (100 + percent) <= len(change) * (100 + percent) + (100 - percent) * (2 * n + len(change))]
                     e = np.empty(len(at), ENTRY)
                     e["token"], e["pos"] = mix(change[order][at] ^ mix(np.array([leader]).astype(np.uint64))), at
@@ -457,7 +468,7 @@ def candidates(docs: DataFrame, reps: DataFrame, width: int, percent: int, total
 
     # Repeated rows of one id are one set.
     prefixed = docs.mapInArrow(tidy(prefixes), "id long, prefix binary").where(F.octet_length("prefix") > 0).groupBy("id").agg(F.first("prefix").alias("prefix"))
-    joined = reps.select("id", "n", "component", "leader", "change").join(prefixed, "id", "left").where("prefix IS NOT NULL OR change IS NOT NULL")
+    joined = reps.select("id", "n", "component", "leader", "change", "lost").join(prefixed, "id", "left").where("prefix IS NOT NULL OR change IS NOT NULL")
     return joined.mapInArrow(tidy(deal), "p long, blob binary").repartition(parts(spark, entries, 1 << 19), "p").mapInArrow(tidy(lists), "a long, b long").distinct()
 
 
@@ -467,7 +478,7 @@ def _parted(entries: np.ndarray, hot: np.ndarray, log: np.ndarray, listed: int)
     A list of more than `listed` sets is cut into k parts by a hash of the id, and each two parts (and each with itself)
     are a list of their own, so that no task has to hold a list whole. Pairs that meet in several are one in the end.
     """
-    rank = _ranks(entries["token"], hot, log, np.zeros((1 << SEEN_BITS) // 8, np.uint8)).astype(np.int64) - 2
+    rank = _ranks(entries["token"], hot, log, np.zeros((1, 1), np.uint8)).astype(np.int64) - 2
     long = np.maximum(rank + 1 - int(np.log2(listed)), 0)
     out = [entries[long == 0]]
     for bits in np.unique(long[long > 0]):
@@ -505,7 +516,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = durable(answers(known, led, width, percent, follow=True))
     first = components(near.where("linked").select("a", "b"))
     # From here on a follower is its leader and what differs.
-    follows = near.select(F.col("a").alias("id"), F.col("b").alias("leader"), "change")
+    follows = near.select(F.col("a").alias("id"), F.col("b").alias("leader"), "change", "lost")
     placed = reps.select("id", "n").join(first, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     placed = durable(placed.join(follows, "id", "left"))
     far = durable(candidates(known, placed, width, percent, total))

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import _words, jaccard_join
 
@@ -88,3 +89,31 @@ def test_derived_overlaps():
         state.meet(base)
         a, b = set(base.tolist()) ^ set(da.tolist()), set(hub.tolist()) ^ set(db.tolist())
         assert state.linked(da, db) == (100 * len(a & b) >= 30 * len(a | b))
+
+
+def test_followers_that_lack_what_only_their_leader_has(spark):
+    """Two texts are alike, and both are their leader's beginning: nothing but its own end makes them differ from it alike."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.integers(1 << 40)}" for _ in range(200)]
+        texts.append(base)
+        for at in rng.choice(140, 2, replace=False):
+            texts.append([*base[:at], f"e{rng.integers(1 << 40)}", *base[at + 1 : 150]])
+    texts = [" ".join(x) for x in texts]
+    want = brute(texts)
+    assert len(set(want)) < len(texts)
+    assert components(spark, texts) == want
+
+
+def test_texts_are_chosen_by_many_ids_without_being_dealt(spark):
+    docs = spark.range(0, 2_000_000, 1, 4).select("id", F.lit("a text").alias("text")).union(spark.sql("SELECT CAST(NULL AS BIGINT), 'none'"))
+    ids = spark.range(0, 1_800_000, 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        made = jaccard_join._of(docs, ids)
+        assert "hashpartitioning(id" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert made.join(ids, "id", "left_semi").count() == 600_000 and made.count() < 800_000
+    assert jaccard_join._of(docs, ids.where("id < 0")).count() == 0
