@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from gridloom.llm import exact_dedup as exact
 from gridloom.llm import jaccard_join, language_id, packing, pii
-from gridloom.llm._runtime import durable, table
+from gridloom.llm._runtime import durable, sieved, table
 from gridloom.llm.queries import pii_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,10 +50,15 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near duplicates; documents without an id are in no group."""
+    """Keep the smallest id of each group of near duplicates; documents without an id are in no group.
+
+    Only documents whose id may be a duplicate's are dealt by it.
+    """
     placed = jaccard_join.jaccard_components(docs)
     gone = durable(placed.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    told = sieved(docs.select(*COLUMNS), "doc_id", gone.select(F.col("doc_id").alias("id")))
+    rest = told.where("sieved").join(gone, "doc_id", "left_anti")
+    return told.where("NOT sieved").select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
