@@ -29,9 +29,10 @@ def shape_metrics(layer: DataFrame, geometry: str = "geometry", buffers: bool =
     hull = kernels.hull_udf(parts)
     out = layer.withColumn("area", a).withColumn("perim_index", F.try_divide(p, geo.ROUND_PERIMETER * F.sqrt(a)))
     if buffers:
-        r = geo.ROUND_TENTH * F.sqrt(a)
-        out = out.withColumn("fullness_index", F.try_divide(kernels.buffered_area_udf(parts, r), a))
-        out = out.withColumn("depth_index", F.try_divide(kernels.buffered_area_udf(parts, -r), a))
+        # A row takes the kernels far longer than the scan: what one scan task reads is dealt to all.
+        out = out.repartition(int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        out = out.withColumn("_buffers", kernels.buffered_areas_udf(parts, geo.ROUND_TENTH * F.sqrt(a)))
+        out = out.withColumn("fullness_index", F.try_divide(F.col("_buffers.grown"), a)).withColumn("depth_index", F.try_divide(F.col("_buffers.shrunk"), a)).drop("_buffers")
     out = out.withColumn("_hull", hull)
     out = out.withColumn("concavity_index", 1 - F.try_divide(F.col("area"), F.col("_hull.area")))
     return out.withColumn("detour_index", F.try_divide(geo.ROUND_PERIMETER * F.sqrt("area"), F.col("_hull.perimeter"))).drop("_hull")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.catalogue import ingest, learn
 from gridloom.catalogue import layers as lay
 from gridloom.functions import geometry as geo
+from gridloom.functions import kernels
 from gridloom.operators import models, wrangle
 from gridloom.sources import tables
 
@@ -128,3 +129,27 @@ def test_all_models_read_a_table_that_is_made_once(spark):
     trained = models.train_all(rows, ["a"], ("ols", "sgd", "knn"))
     wide = rows.select("geohash", seen("a").alias("a"))
     assert len(models.predict_all(trained, wide).collect()) == 20 and made.value == 20
+
+
+def test_buffers_are_exact():
+    """Closed forms of a square and an L, then polygons with holes, spikes and parts against many points, all at once."""
+    ring = lambda *p: [*p, p[0]]
+    square, corner = [[ring((5.0, 5.0), (15.0, 5.0), (15.0, 15.0), (5.0, 15.0))]], [[ring((0.0, 0.0), (10.0, 0.0), (10.0, 4.0), (5.0, 4.0), (5.0, 8.0), (0.0, 8.0))]]
+    grown, shrunk = kernels.buffered_areas([square, corner, square, None, corner], [2.0, 1.0, 6.0, 1.0, float("nan")])
+    assert np.allclose(grown[:3], [180 + 4 * math.pi, 60 + 36 + math.pi * 1.25 - 1, 340 + 36 * math.pi], rtol=1e-12) and np.isnan(grown[3:]).all()
+    assert np.allclose(shrunk[:3], [36, 8 * 2 + 3 * 4 + 1 - math.pi / 4, 0], rtol=1e-12)
+    rng = np.random.default_rng(1)
+    star = [(float(r * math.cos(t)), float(r * math.sin(t))) for r, t in zip(rng.uniform(2, 9, 15), np.sort(rng.uniform(0, 2 * math.pi, 15)), strict=True)]
+    holed = [[ring((0, 0), (10, 0), (10, 10), (0, 10)), ring((3, 3), (3, 6), (6, 6), (6, 3))], [ring((12, 0), (15, 0), (15, 3))]]
+    spiked = [[ring((0, 0), (10, 0), (10, 5), (14, 5), (10, 5), (10, 10), (0, 10))]]
+    for parts in ([[ring(*star)]], holed, spiked):
+        edges = np.array([(*a, *b) for part in parts for r in part for a, b in zip(r, r[1:], strict=False)], float)
+        for d in (0.3, 1.0, 3.0):
+            x, y = (v.ravel()[:, None] for v in np.meshgrid(np.arange(-14, 20, 0.05) + 0.025, np.arange(-14, 15, 0.05) + 0.025))
+            ax, ay, bx, by = edges.T
+            t = np.clip(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2), 0, 1)
+            near = np.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)).min(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inside = (((ay > y) != (by > y)) & (x < ax + (y - ay) / (by - ay) * (bx - ax))).sum(1) % 2 == 1
+            want = [0.0025 * np.count_nonzero(inside | (near <= d)), 0.0025 * np.count_nonzero(inside & (near > d))]
+            assert np.allclose(np.concatenate(kernels.buffered_areas([parts], [d])), want, atol=0.3)
